@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, ogg, packing, pii, tokencount
+from . import decontam, langid, linededup, neardup, ogg, packing, pii, tokencount
 from .common import table
 
 
@@ -18,11 +18,19 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.section_counts(table(spark, sf_dir, "documents"))
 
@@ -36,7 +44,7 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op2_langid, op5_decontam, op7_token_counts, op9_packing, op10_ogg)
+    own = (op1_pii, op2_langid, op3_neardup, op5_decontam, op6_line_dedup, op7_token_counts, op9_packing, op10_ogg)
     return {f.__name__: f for f in own}
 
 
