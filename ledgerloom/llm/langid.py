@@ -180,3 +180,27 @@ def languages(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, langs; learned from the rows that are not held out."""
     found = predict(documents, train(training_rows(documents)))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "langs")
+
+
+def labelled(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents that have a language, in the same columns, ``lang`` being the predicted one. Nothing is joined or shuffled.
+
+    With a model that learned nothing, documents with a letter stay as they are.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    at, lang = documents.columns.index("text"), documents.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            texts, found = batch.column(at).to_pylist(), []
+            for a, b in chunks(texts, CHUNK_CHARS):
+                found += [m.languages[int(np.argmax(s))] if s.any() else None for s in mixtures(texts[a:b], m)]
+            names = pa.array(found, pa.string())
+            if not m.languages:
+                yield batch.filter(pa.array([any(c.isalpha() for c in t or "") for t in texts], pa.bool_()))
+                continue
+            columns = [names if k == lang else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(names.is_valid())
+
+    return documents.mapInArrow(run, documents.schema)

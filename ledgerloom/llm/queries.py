@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, neardup, ogg, packing, pii, tokencount
+from . import decontam, langid, linededup, neardup, ogg, packing, pii, tokencount, urltree, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -35,6 +39,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.section_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii, op2_langid, op3_neardup, op5_decontam, op6_line_dedup, op7_token_counts, op9_packing, op10_ogg)
+    own = (op1_pii, op2_langid, op3_neardup, op4_url_filter, op5_decontam, op6_line_dedup, op7_token_counts, op8_warc, op9_packing, op10_ogg)
     return {f.__name__: f for f in own}
 
 
@@ -74,5 +82,64 @@ FROM low LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+def _op4() -> str:
+    """The template tree in SQL, one level of it after the other."""
+    rules = sorted(urltree.RULES, key=lambda r: -len(r[0] + r[1]))
+    cases = [(f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in rules]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n, _ in cases) + " END"
+    said = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in cases) + " END"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    levels = ""
+    for d in range(2, urltree.DEPTH + 1):
+        levels += f"""
+, w{d} AS (
+  SELECT host, node FROM (
+    SELECT host, array_to_string(now[1:{d - 1}], '/') AS node, now[{d}] AS seg, sum(n) AS n FROM t{d - 1} WHERE len(now) >= {d} AND now[{d}] <> '*' GROUP BY ALL
+  ) GROUP BY ALL HAVING count(*) >= {urltree.MANY} AND count(*) * 2 > sum(n)
+), t{d} AS (
+  SELECT t.host, template, n, labelled, blocked, CASE WHEN w.node IS NOT NULL AND len(now) >= {d} THEN list_concat(now[1:{d - 1}], ['*'], now[{d + 1}:]) ELSE now END AS now
+  FROM t{d - 1} t LEFT JOIN w{d} w ON t.host = w.host AND array_to_string(now[1:{d - 1}], '/') = w.node
+)"""
+    return rf"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), own AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), page AS (
+  SELECT *, {rule} AS rule, {said} AS said,
+    array_to_string(list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) >= {urltree.LONG} THEN '*' ELSE s END), '/') AS template FROM own
+), t1 AS (
+  SELECT host, template, count(*) AS n, count(said) AS labelled, count(*) FILTER (WHERE said = 'block') AS blocked, string_split(template, '/') AS now FROM page GROUP BY host, template
+){levels}
+, shaped AS (
+  SELECT host, template, array_to_string(now, '/') AS branch, labelled, blocked,
+    array_to_string(list_transform(now, lambda s: CASE WHEN s IN ('*', '') THEN s ELSE '+' END), '/') AS shape FROM t{urltree.DEPTH}
+), branches AS (
+  SELECT host, shape, branch, sum(labelled) AS bn, sum(blocked) AS bx FROM shaped GROUP BY ALL
+), shapes AS (
+  SELECT host, shape, sum(bn) AS sn, sum(bx) AS sx FROM branches GROUP BY ALL
+), units AS (
+  SELECT host, shape, branch, bn, bx, CASE WHEN bn > 0 AND abs(bx / bn - sx / sn) <= {urltree.Z} * sqrt(sx / sn * (1 - sx / sn) / bn) THEN shape ELSE branch END AS unit
+  FROM branches JOIN shapes USING (host, shape)
+), everywhere AS (
+  SELECT shape, sum(sn) AS en, sum(sx) AS ex FROM shapes GROUP BY ALL
+), total AS (
+  SELECT (coalesce(sum(ex), 0) + 1.0) / (coalesce(sum(en), 0) + 2.0) AS share FROM everywhere
+), judged AS (
+  SELECT host, shape, unit, sum(bn) AS marked, (sum(bx) + {urltree.WEIGHT} * ((any_value(ex) + 2.0 * any_value(share)) / (any_value(en) + 2.0))) / (sum(bn) + {urltree.WEIGHT}) AS purity
+  FROM units JOIN everywhere USING (shape), total GROUP BY host, shape, unit
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN marked > 0 AND purity >= {urltree.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, unit AS template, round(CAST(purity AS DOUBLE), 6) AS purity
+FROM page JOIN shaped USING (host, template) JOIN units USING (host, shape, branch) JOIN judged USING (host, shape, unit)
+"""
+
+
+_OP8 = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages)
+, k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keep FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keep = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontam": _OP5}
+    return {"op4_url_filter": _op4(), "op5_decontam": _OP5, "op8_warc": _OP8}
