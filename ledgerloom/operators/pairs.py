@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def pivot_pairs(rows: DataFrame, pair: str, role: str, roles: tuple[str, str], measures: list[str], order: str, keep: list[str] | None = None) -> DataFrame:
     """One row of each pair that has both roles: ``<measure>_<role>`` of both and ``<measure>_delta`` (second less first).
@@ -40,18 +42,15 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def average_rank(df: DataFrame, x: str, name: str) -> DataFrame:
     """Adds the rank of ``x`` from 1, equal values sharing the mean of theirs, from counts of distinct values."""
-    from .trials import numbered
+    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("_n"))
+    ranks = running(counts, [], [F.col(x)], F.col("_n"), "_up").select(x, (F.col("_up") - (F.col("_n") - 1) / 2).alias(name))
+    return df.join(ranks, x, "left")
 
-    counts = df.groupBy(x).agg(F.count("*").alias("_n"))
-    placed = numbered(counts.where(F.col(x).isNotNull()), [F.col(x)], "_k")
-    from pyspark.sql import Window
 
-    block = F.floor(F.col("_k") / 10_000)
-    sums = placed.groupBy(block.alias("_blk")).agg(F.sum("_n").alias("_s"))
-    before = sums.withColumn("_before", F.sum("_s").over(Window.orderBy("_blk")) - F.col("_s")).select("_blk", "_before")  # a row per 10,000 values
-    inside = F.sum("_n").over(Window.partitionBy("_blk").orderBy("_k"))
-    ranks = placed.withColumn("_blk", block).join(before, "_blk").select(x, (F.col("_before") + inside - (F.col("_n") - 1) / 2).alias(name))
-    return df.join(ranks, x, "left")
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, r) of the ranks of rows that have both."""
+    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    return correlation(average_rank(average_rank(own, x, "_rx"), y, "_ry"), "_rx", "_ry")
 
 
 def matched_deltas(rows: DataFrame, key: str, scale: str, base: float, measures: list[str], valid: str = "valid") -> DataFrame:

@@ -49,7 +49,7 @@ class Fit:
             return math.nan, math.nan
         i, j = self.names.index(a), self.names.index(b)
         var = self.cov[i, i] + self.cov[j, j] - 2 * self.cov[i, j]
-        f = (self.coef[i] - self.coef[j]) ** 2 / var if var > 0 else math.nan
+        f = float((self.coef[i] - self.coef[j]) ** 2 / var) if var > 0 else math.nan
         return f, tails.f_upper(f, 1, self.df_resid)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import number, slug_piece, strip
-from .trials import numbered
+from .ranks import numbered
 
 
 def smart_value(name: str) -> Column:

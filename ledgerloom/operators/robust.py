@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import sign_test
+from .ranks import running
 
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 FRACTIONS = (0.05, 0.10, 0.20)
@@ -20,8 +21,9 @@ EXTREMES = (5, 10, 20, 30)
 def _by_value(df: DataFrame, group: list[str], x: str) -> DataFrame:
     """(group, x, n, below, total): counts of distinct values with the number of rows below each."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*group, x).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*group).orderBy(x)
-    return counts.withColumns({"below": F.sum("n").over(w) - F.col("n"), "total": F.sum("n").over(Window.partitionBy(*group))})
+    totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
+    up = running(counts, group, [F.col(x)], F.col("n"), "below").withColumn("below", F.col("below") - F.col("n"))
+    return up.join(totals, group) if group else up.join(F.broadcast(totals), F.lit(True))
 
 
 def quantiles(df: DataFrame, group: list[str], x: str) -> DataFrame:
@@ -42,10 +44,10 @@ def trimmed_and_winsorized(df: DataFrame, group: list[str], x: str) -> DataFrame
     for f in FRACTIONS:
         cut = F.floor(F.col("total") * f)
         inside = F.greatest(F.lit(0), F.least(F.col("below") + F.col("n"), F.col("total") - cut) - F.greatest(F.col("below"), cut))
-        own = own.withColumns({f"_in{f}": inside, f"_cut{f}": cut})
+        own = own.withColumns({f"_in{round(f * 100)}": inside, f"_cut{round(f * 100)}": cut})
     stats = []
     for f in FRACTIONS:
-        name, inside, cut = f"{round(f * 100):02d}", F.col(f"_in{f}"), F.max(f"_cut{f}")
+        name, inside, cut = f"{round(f * 100):02d}", F.col(f"_in{round(f * 100)}"), F.max(f"_cut{round(f * 100)}")
         low, high = F.min(F.when(inside > 0, F.col(x))), F.max(F.when(inside > 0, F.col(x)))
         total = F.sum(inside * F.col(x))
         stats += [(total / F.nullif(F.sum(inside), F.lit(0))).alias(f"trim_{name}"), ((total + cut * (low + high)) / F.max("total")).alias(f"winsor_{name}")]
@@ -54,12 +56,16 @@ def trimmed_and_winsorized(df: DataFrame, group: list[str], x: str) -> DataFrame
 
 def without_extremes(df: DataFrame, group: list[str], x: str, order: str) -> DataFrame:
     """Means without the k largest values, and without the k largest in size; the first in ``order`` goes first among equals."""
-    part = Window.partitionBy(*group)
-    own = df.where(F.col(x).isNotNull()).withColumns({"_up": F.row_number().over(part.orderBy(F.desc(x), order)), "_abs": F.row_number().over(part.orderBy(F.desc(F.abs(F.col(x))), order))})
-    stats = [F.avg(F.when(F.col(r) > k, F.col(x))).alias(f"without_{k}_{n}") for k in EXTREMES for r, n in (("_up", "positive"), ("_abs", "absolute"))]
-    top = F.sum(F.when((F.col("_up") <= 10) & (F.col(x) > 0), F.col(x)))
-    stats += [F.sum(F.when(F.col(x) > 0, F.col(x))).alias("sum_positive"), F.sum(F.when(F.col(x) < 0, F.col(x))).alias("sum_negative"), F.sum(x).alias("net")]
-    return own.groupBy(*group).agg(*stats, (top / F.nullif(F.sum(x), F.lit(0.0))).alias("top_10_share"))
+    own = df.where(F.col(x).isNotNull()).select(*group, x, order)
+    total = own.groupBy(*group).agg(F.sum(F.when(F.col(x) > 0, F.col(x))).alias("sum_positive"), F.sum(F.when(F.col(x) < 0, F.col(x))).alias("sum_negative"), F.sum(x).alias("net"), F.count("*").alias("_n"))
+    for name, by in (("positive", F.col(x)), ("absolute", F.abs(F.col(x)))):
+        # only the first rows of each rank are gathered: Spark limits a window's groups before the shuffle
+        w = Window.partitionBy(*group).orderBy(by.desc(), order)
+        top = own.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max(EXTREMES))
+        sums = top.groupBy(*group).agg(*[F.sum(F.when(F.col("_k") <= k, F.col(x))).alias(f"_{name}_{k}") for k in EXTREMES], F.sum(F.when((F.col("_k") <= 10) & (F.col(x) > 0), F.col(x))).alias(f"_{name}_top"))
+        total = total.join(sums, group) if group else total.join(F.broadcast(sums), F.lit(True))
+    left = [F.when(F.col("_n") > k, (F.col("net") - F.col(f"_{n}_{k}")) / (F.col("_n") - k)).alias(f"without_{k}_{n}") for k in EXTREMES for n in ("positive", "absolute")]
+    return total.select(*group, *left, "sum_positive", "sum_negative", "net", (F.col("_positive_top") / F.nullif(F.col("net"), F.lit(0.0))).alias("top_10_share"))
 
 
 def extremes(df: DataFrame, x: str, order: str, count: int = 20) -> DataFrame:
@@ -78,7 +84,7 @@ def signs(df: DataFrame, group: list[str], x: str) -> DataFrame:
     out = df.groupBy(*group).agg(F.count_if(F.col(x) > 0).alias("positive"), F.count_if(F.col(x) < 0).alias("negative"), F.count_if(F.col(x) == 0).alias("zero"))
     from pyspark.sql.types import DoubleType, StructType
 
-    return out.mapInPandas(p, StructType(out.schema.fields).add("two_sided_p", DoubleType()))
+    return out.mapInPandas(p, StructType(list(out.schema.fields)).add("two_sided_p", DoubleType()))
 
 
 def bootstrap(df: DataFrame, x: str, order: str, iterations: int = 20_000, seed: int = 7) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
+from .ranks import numbered
 
 FIELDS = (
     "trial_id", "condition", "outcome_type", "amount", "run_number", "model", "temperature", "prompt_version", "prompt_text", "response_text",
@@ -48,24 +49,11 @@ def balanced(trials: DataFrame, block: list[str], condition: str, run: str, step
     fine = (F.coalesce(F.col(condition), F.lit("")) != "") & (F.coalesce(F.col(run), F.lit(0)) > 0)
     good = trials.where(fine)
     runs = good.select(*block, condition, run).distinct()
-    rank = F.dense_rank().over(Window.partitionBy(*block, condition).orderBy(run))
-    chosen = runs.withColumn("_rank", rank).join(targets(good, block, condition, run, step), block).where("_rank <= target").select(*block, condition, run)
+    chosen = numbered(runs, [F.col(run)], "_rank", group=[*block, condition]).join(targets(good, block, condition, run, step), block).where("_rank <= target").select(*block, condition, run)
     kept = good.join(chosen, [*block, condition, run], "left_semi").select(trials.columns)
     return kept.unionByName(trials.where(~fine))
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
-    """Adds consecutive numbers in a total order without gathering the rows in one task.
-
-    Rows are range-partitioned by the order and sorted; each partition's first number comes from the sizes of those before it.
-    """
-    own = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    own = own.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)).persist()
-    sizes = own.groupBy("_p").agg(F.count("*").alias("_n"))  # one row per partition
-    before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_b")
-    return own.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_i") + start).drop("_p", "_i", "_b")
-
-
 def row_order() -> list[Column]:
     """Order of merged rows; temperatures sort as text."""
     return [coerce.strip("model"), coerce.temperature_key("temperature"), coerce.strip("prompt_version"), coerce.strip("condition"), coerce.run_number("run_number"), coerce.strip("request_id")]
@@ -94,7 +82,7 @@ def merge(blocks: DataFrame, output: DataFrame | None = None, step: int = 1) ->
 
 def missing_runs(conditions: DataFrame, runs: int, done: DataFrame) -> DataFrame:
     """(condition, run_number) of the plan 1..runs of every condition that is not done."""
-    plan = conditions.select("condition").distinct().select("condition", F.explode(F.sequence(F.lit(1), F.lit(runs))).cast("long").alias("run_number"))
+    plan = conditions.select("condition").distinct().select("condition", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))).alias("run_number"))
     return plan.join(done.select("condition", F.col("run_number").cast("long").alias("run_number")).distinct(), ["condition", "run_number"], "left_anti")
 
 

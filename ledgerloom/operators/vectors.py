@@ -145,4 +145,4 @@ def encode(df: DataFrame, vector: str, weights: np.ndarray, bias: np.ndarray, ce
 
     from pyspark.sql.types import ArrayType, FloatType, StructType
 
-    return df.select(F.col(vector).alias("_v"), "*").mapInArrow(run, StructType(df.schema.fields).add("features", ArrayType(FloatType())))
+    return df.select(F.col(vector).alias("_v"), "*").mapInArrow(run, StructType(list(df.schema.fields)).add("features", ArrayType(FloatType())))
