@@ -14,16 +14,30 @@ from pyspark.sql import functions as F
 from ..operators.trials import FIELDS
 
 
+#: Columns that a CSV file can have.
+MAX_COLUMNS = 256
+
+
 def csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", glob: str | None = None, recursive: bool = False) -> DataFrame:
     """All columns as text, blank for missing, quoted line ends kept; ``_path`` is the file and ``_row`` the row in it.
 
-    A file with quoted line ends is read by one task, whose row numbers are in file order.
+    Every file goes by its own header, so files may differ in columns and their order. A file with quoted line ends
+    is read by one task, whose row numbers are in file order.
     """
-    r = spark.read.options(header=True, multiLine=True, quote='"', escape='"', encoding=encoding, recursiveFileLookup=recursive, inferSchema=False)
+    r = spark.read.options(header=False, multiLine=True, quote='"', escape='"', encoding=encoding, recursiveFileLookup=recursive)
     r = r.option("pathGlobFilter", glob) if glob else r
-    df = r.csv(path)
-    own = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns], F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"))
-    return own.withColumn("_row", F.row_number().over(Window.partitionBy("_path").orderBy("_id"))).drop("_id")
+    raw = r.schema(", ".join(f"c{i} string" for i in range(MAX_COLUMNS))).csv(path)
+    cells = F.array(*[F.coalesce(f"c{i}", F.lit("")) for i in range(MAX_COLUMNS)])
+    own = raw.select(cells.alias("_cells"), F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"))
+    own = own.withColumn("_row", F.row_number().over(Window.partitionBy("_path").orderBy("_id")) - 1).drop("_id")
+    # one header for each file; the byte order mark of some editors is no part of a name
+    head = own.where("_row = 0").select("_path", F.transform("_cells", lambda c: F.regexp_replace(c, "^\ufeff", "")).alias("_head"))
+    names: dict[str, None] = {}
+    for r_ in head.select("_head").distinct().orderBy("_head").collect():
+        names.update(dict.fromkeys(n for n in r_[0] if n))
+    body = own.where("_row > 0").join(head, "_path")
+    value = lambda n: F.coalesce(F.try_element_at("_cells", F.nullif(F.array_position("_head", n), F.lit(0).cast("long")).cast("int")), F.lit(""))
+    return body.select(*[value(n).alias(n) for n in names], "_path", "_row")
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
