@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgerloom import queries
@@ -22,7 +23,7 @@ def duck():
 
 
 def rows(frame):
-    shown = lambda v: None if v is None or v != v else round(v, 3) if isinstance(v, float) else v
+    shown = lambda v: None if v is None or v is pd.NA or v != v else round(v, 3) if isinstance(v, float) else v
     return sorted((tuple(shown(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=repr)
 
 
