@@ -138,10 +138,13 @@ def deduplicated(documents: DataFrame, edits: int = EDITS, max_share: float = MA
     A document of which more than ``max_share`` of the characters are repeats keeps them: it is a copy of whole
     texts, which near-duplicate detection handles better than what would be left of it.
     """
-    found = staged(by_document(documents, edits).select(F.col("doc_id").alias("_doc"), "repeat_chars", F.col("repeats.line_no").alias("_drop")), "repeats")
-    own = documents.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    cut = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_drop, i)), '\\n')")
-    out = own.withColumn("text", F.when(F.col("repeat_chars") <= max_share * F.length("text"), cut).otherwise(F.col("text")))
+    found = staged(by_document(documents, edits).select("doc_id", "repeat_chars", F.col("repeats.line_no").alias("drop")), "repeats")
+    # names are qualified, so the documents' own columns cannot clash with those of the repeats
+    text, few = F.col("docs.text"), F.col("reps.repeat_chars") <= max_share * F.length("docs.text")
+    cut = F.expr("array_join(filter(split(docs.text, '\\n'), (x, i) -> not array_contains(reps.drop, i)), '\\n')")
+    new = {"text": F.when(few, cut).otherwise(text)}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
-    return out.select(documents.columns)
+        size = F.when(few, F.length(cut)).when(text.isNotNull(), F.length(text)).otherwise(F.col("docs.n_chars"))
+        new["n_chars"] = size.cast(documents.schema["n_chars"].dataType)
+    own = documents.alias("docs").join(found.alias("reps"), F.col("docs.doc_id").eqNullSafe(F.col("reps.doc_id")), "left")
+    return own.select(*[new.get(c, F.col(f"docs.`{c}`")).alias(c) for c in documents.columns])

@@ -30,7 +30,7 @@ def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str = "majority") -> t
 
     ends: byte offset after each token; bounds: byte offset after each section; both increase, both end together.
     """
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1]
     first = np.searchsorted(bounds, starts, "right")
     last = np.searchsorted(bounds, ends - 1, "right")
     owner, crossing = first.copy(), last > first

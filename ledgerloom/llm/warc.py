@@ -2,7 +2,7 @@
 
 Archive files are written by Spark's text writer, whose line end is the records' separator, and read as whole
 files by Spark's binary reader, so they work in any store Spark works in. A file holds at most
-``RECORDS`` records after its first, descriptive one, which bounds what a task holds in memory.
+``per_file`` records after its first, descriptive one, which bounds what a task holds in memory.
 
 The reader of ARC takes the version from the file's version block (1: url, address, date, type, length; 2: also
 result code, checksum, location, offset, file name) and finds records by their declared lengths. The converter
@@ -37,9 +37,9 @@ _FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def _write(rows: DataFrame, path: str, separator: str) -> None:
+def _write(rows: DataFrame, path: str, separator: str, per_file: int) -> None:
     w = rows.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    w.option("maxRecordsPerFile", RECORDS + 1).text(path)
+    w.option("maxRecordsPerFile", per_file + 1).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -58,15 +58,15 @@ def _content(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _led(batches: Iterator[pa.RecordBatch], lead: str) -> Iterator[pa.RecordBatch]:
-    """The rows, with a leading one before every ``RECORDS`` of them, as files begin there."""
+def _led(batches: Iterator[pa.RecordBatch], lead: str, per_file: int) -> Iterator[pa.RecordBatch]:
+    """The rows, with a leading one before every ``per_file`` of them, as files begin there."""
     first, room = pa.RecordBatch.from_arrays([pa.array([lead])], names=["value"]), 0
     for batch in batches:
         at = 0
         while at < batch.num_rows:
             if not room:
                 yield first
-                room = RECORDS
+                room = per_file
             n = min(room, batch.num_rows - at)
             yield batch.slice(at, n)
             at, room = at + n, room - n
@@ -87,7 +87,7 @@ def arc_record(version: int, page_id: int, url: str | None, html: str | None) ->
     return f"{name} {ADDRESS} {DATE} text/html{more} {size}\n{head}{body}"
 
 
-def write_arc(pages: DataFrame, path: str) -> None:
+def write_arc(pages: DataFrame, path: str, per_file: int = RECORDS) -> None:
     """The pages as legacy archives; files of odd partitions are version 2."""
     from pyspark import TaskContext
 
@@ -96,14 +96,14 @@ def write_arc(pages: DataFrame, path: str) -> None:
 
         def rows() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for k in range(0, batch.num_rows, RECORDS):
-                    part = batch.slice(k, RECORDS)
+                for k in range(0, batch.num_rows, per_file):
+                    part = batch.slice(k, per_file)
                     out = [arc_record(version, *x) for x in zip(*(c.to_pylist() for c in part.columns), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-        yield from _led(rows(), version_block(version))
+        yield from _led(rows(), version_block(version), per_file)
 
-    _write(pages.select("page_id", "url", "html").mapInArrow(run, "value string"), path, "\n")
+    _write(pages.select("page_id", "url", "html").mapInArrow(run, "value string"), path, "\n", per_file)
 
 
 def arc_records(data: bytes) -> Iterator[tuple[str, str, str, str, bytes]]:
@@ -166,7 +166,7 @@ def _urn(page_id: str) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, per_file: int = RECORDS) -> None:
     """Converted records as WARC archives: a response for each payload, revisits for others that are equal to it.
 
     Only digests that occur twice and more go to the side of the join that finds them; it is a written table, so Spark
@@ -194,7 +194,7 @@ def write_warc(records: DataFrame, path: str) -> None:
     rows = own.withColumn("block", block).select(F.concat(*head, F.col("block")).alias("value"))
     about = "software: ledgerloom\r\nformat: WARC File Format 1.0\r\n"
     info = f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, about)}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n{about}"
-    _write(rows.mapInArrow(lambda batches: _led(batches, info), "value string"), path, "\r\n\r\n")
+    _write(rows.mapInArrow(lambda batches: _led(batches, info, per_file), "value string"), path, "\r\n\r\n", per_file)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -241,15 +241,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, schema)
 
 
-def archived(pages: DataFrame) -> DataFrame:
+def archived(pages: DataFrame, per_file: int = RECORDS) -> DataFrame:
     """Writes the pages as ARC, converts the archives to WARC and reads those back: one row per page.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to. The ARC files go once they are converted.
     """
     spark = pages.sparkSession
     base = f"{shared_dir(spark)}/ledgerloom/archives-{uuid.uuid4().hex}"
-    write_arc(pages, f"{base}/arc")
-    write_warc(converted(spark, f"{base}/arc"), f"{base}/warc")
+    write_arc(pages, f"{base}/arc", per_file)
+    write_warc(converted(spark, f"{base}/arc"), f"{base}/warc", per_file)
     remove(spark, f"{base}/arc")
     found = staged(read_warc(spark, f"{base}/warc").drop("uri"), "archived")
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type")

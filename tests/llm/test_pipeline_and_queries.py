@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -20,7 +21,7 @@ def duck():
 
 
 def shown(frame):
-    fine = lambda v: None if v is None or v != v else round(v, 4) if isinstance(v, float) else v
+    fine = lambda v: None if v is None or v is pd.NA or v != v else round(v, 4) if isinstance(v, float) else v
     return sorted((tuple(fine(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=repr)
 
 

@@ -26,10 +26,9 @@ def want(rows):
 
 
 @pytest.mark.parametrize("records", [1000, 2])
-def test_round_trip(spark, monkeypatch, records):
-    monkeypatch.setattr(warc, "RECORDS", records)
+def test_round_trip(spark, records):
     df = pages(spark).repartition(3)
-    assert sorted(map(tuple, warc.archived(df).collect())) == want(df.collect())
+    assert sorted(map(tuple, warc.archived(df, records).collect())) == want(df.collect())
 
 
 def test_empty_table(spark):
