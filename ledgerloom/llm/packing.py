@@ -33,6 +33,9 @@ CAPACITY = 1024
 END = 2
 #: Rows of one rank bucket, on average.
 BUCKET_ROWS = 20_000
+#: Rows that are encoded at once, and characters of texts whose ids a worker keeps for copies: both bound its memory.
+SLICE_ROWS = 256
+SAME_CHARS = 2_000_000
 
 _PIECE = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.list_(pa.int32())}
 
@@ -50,13 +53,18 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, end: int = END, with_
     fields = {k: t for k, t in _PIECE.items() if with_ids or k != "ids"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        same: dict[str, np.ndarray] = {}  # texts that came before, of ``SAME_CHARS`` at most
+        held = 0
+        for part in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             out: dict[str, list] = {k: [] for k in fields}
-            same: dict[str, np.ndarray] = {}  # texts of this batch that came before
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 text = text or ""
                 if (ids := same.get(text)) is None:
-                    ids = same[text] = np.append(tokens.ids(text), np.uint32(end)).astype("<u4")
+                    ids = np.append(tokens.ids(text), np.uint32(end)).astype("<u4")
+                    if held + len(text) > SAME_CHARS:
+                        same, held = {}, 0
+                    if len(text) <= SAME_CHARS:
+                        same[text], held = ids, held + len(text)
                 for k, (a, b) in enumerate(cuts(len(ids), capacity)):
                     out["doc_id"].append(doc_id)
                     out["piece"].append(k)
