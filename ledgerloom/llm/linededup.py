@@ -33,10 +33,14 @@ MIN_NEAR = 24
 MAX_SHARE = 0.5
 
 
+def _trimmed(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"^\s+|\s+$", "")
+
+
 def lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): non-blank lines, trimmed, numbered from 0 by their place in the text."""
     own = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return own.select("doc_id", "line_no", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
+    return own.select("doc_id", "line_no", _trimmed(F.col("raw")).alias("line")).where("line <> ''")
 
 
 def _hashes(line: str = "line") -> list[Column]:
@@ -74,13 +78,20 @@ def _edit(a: str, b: str, edits: int) -> Column:
     return (d >= 0) & (d <= edits)
 
 
-def _texts(documents: DataFrame, needed: DataFrame) -> DataFrame:
-    """(h, line) of the needed hashes. ``needed`` is a written table, so Spark knows if it is small enough to broadcast."""
-    return lines(documents).select(_hashes()[0], "line").join(needed, "h", "left_semi").distinct()
+def _texts(documents: DataFrame, firsts: DataFrame, needed: DataFrame) -> DataFrame:
+    """(h, line) of the needed hashes, each from the place where its line stands first, so only documents with such a line are cut.
+
+    ``needed`` is a written table, so Spark knows if it is small enough to broadcast. Rows of one doc_id may have different texts; the hash tells.
+    """
+    places = firsts.select("h", "doc_id", "line_no").join(needed, "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "line_no")).alias("at"))
+    own = documents.select("doc_id", "text").alias("docs").join(staged(places, "places").alias("places"), F.col("docs.doc_id").eqNullSafe(F.col("places.doc_id")))
+    # the text is split once, as the variable of the outer lambda
+    found = F.transform(F.array(F.split("text", "\n")), lambda raw: F.transform("at", lambda p: F.struct(p["h"].alias("h"), _trimmed(F.get(raw, p["line_no"])).alias("line"))))
+    return own.select(F.explode(found[0]).alias("x")).select("x.h", "x.line").where(F.col("h") == _hashes()[0]).distinct()
 
 
 def near_links(documents: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
-    """(src, dst) hashes of different lines within ``edits``. firsts: h, index, probe of each distinct line."""
+    """(src, dst) hashes of different lines within ``edits``. firsts: h, doc_id, line_no, index, probe of each distinct line."""
     index = firsts.select(F.explode("index").alias("key"), "h").where("key is not null")
     probe = firsts.select(F.explode("probe").alias("key"), "h").where("key is not null")
     bucket = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n"))
@@ -94,7 +105,7 @@ def near_links(documents: DataFrame, firsts: DataFrame, edits: int) -> DataFrame
     inside = staged(index.join(many, "key"), "inside")
     asking = met.where("n > 2").select("key", "h").unionByName(inside)
     needed = few.select(F.col("src").alias("h")).union(few.select("dst")).union(asking.select("h")).union(inside.select("h"))
-    texts = staged(_texts(documents, staged(needed.distinct(), "needed")), "line_texts")
+    texts = staged(_texts(documents, firsts, staged(needed.distinct(), "needed")), "line_texts")
     a, b = (texts.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line")) for x in ("src", "dst"))
     linked = few.join(a, "src").join(b, "dst").where(_edit("src_line", "dst_line", edits)).select("src", "dst")
     # each edit changes at most two letter counts, so at most two bits of their parities
