@@ -22,6 +22,8 @@ empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ EDITS = 2
 MIN_NEAR = 24
 #: A document keeps its repeats if they are more than this share of its characters: it is a copy, not a text with boilerplate.
 MAX_SHARE = 0.5
+#: Documents whose needed lines are broadcast at once (about 100 bytes each), and the most such blocks; beyond that the texts are shuffled.
+BLOCK = 500_000
+BLOCKS = 8
 
 
 def _trimmed(raw: Column) -> Column:
@@ -81,13 +86,24 @@ def _edit(a: str, b: str, edits: int) -> Column:
 def _texts(documents: DataFrame, firsts: DataFrame, needed: DataFrame) -> DataFrame:
     """(h, line) of the needed hashes, each from the place where its line stands first, so only documents with such a line are cut.
 
-    ``needed`` is a written table, so Spark knows if it is small enough to broadcast. Rows of one doc_id may have different texts; the hash tells.
+    The places of needed lines are counted: up to ``BLOCKS`` blocks of ``BLOCK`` documents are broadcast one by one,
+    each for a scan of the documents, so that their texts are not shuffled. More of them are joined by a shuffle.
+    Rows of one doc_id may have different texts; the hash tells.
     """
     places = firsts.select("h", "doc_id", "line_no").join(needed, "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "line_no")).alias("at"))
-    own = documents.select("doc_id", "text").alias("docs").join(staged(places, "places").alias("places"), F.col("docs.doc_id").eqNullSafe(F.col("places.doc_id")))
+    places = staged(places, "places")
+    blocks = -(-places.count() // BLOCK)
+    own = documents.select("doc_id", "text").alias("docs")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("places.doc_id"))
+    if 0 < blocks <= BLOCKS:
+        parts = [places.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == i) for i in range(blocks)]
+        joined = functools.reduce(DataFrame.union, [own.join(F.broadcast(part).alias("places"), same) for part in parts])
+    else:
+        joined = own.join(places.alias("places"), same)
+    joined = joined.select("text", "at")
     # the text is split once, as the variable of the outer lambda
     found = F.transform(F.array(F.split("text", "\n")), lambda raw: F.transform("at", lambda p: F.struct(p["h"].alias("h"), _trimmed(F.get(raw, p["line_no"])).alias("line"))))
-    return own.select(F.explode(found[0]).alias("x")).select("x.h", "x.line").where(F.col("h") == _hashes()[0]).distinct()
+    return joined.select(F.explode(found[0]).alias("x")).select("x.h", "x.line").where(F.col("h") == _hashes()[0]).distinct()
 
 
 def near_links(documents: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
