@@ -39,7 +39,8 @@ BLOCKS = 8
 
 
 def _trimmed(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"^\s+|\s+$", "")
+    # the characters of \s, without a regular expression
+    return F.btrim(raw, F.lit(" \t\n\x0b\f\r"))
 
 
 def lines(documents: DataFrame) -> DataFrame:
