@@ -10,7 +10,7 @@ Lines are trimmed; blank ones do not count. Equal lines are one class by a 128-b
 3. An index key of one or two lines gives its candidates directly, one row for a probe. Keys of more lines are
    joined with their texts, and pairs are dropped inside the join by a letter sketch and the edit distance, so
    only true links come out of it.
-4. Every candidate is verified by the edit distance within a band of ``EDITS`` diagonals.
+4. Every candidate is verified by a bit-parallel edit distance within a band of ``EDITS`` diagonals to either side.
 
 Classes are the connected components of exact and near links; the first line of a class in order of (doc_id,
 line number) is its representative and the others are repeats.
@@ -79,9 +79,27 @@ def _keys(edits: int) -> tuple[list[Column], list[Column]]:
     return index, probe
 
 
-def _edit(a: str, b: str, edits: int) -> Column:
-    d = F.levenshtein(F.col(a), F.col(b), edits)
-    return (d >= 0) & (d <= edits)
+def within(a: str, b: str, edits: int) -> Column:
+    """Whether the lines in columns ``a`` and ``b`` are at most ``edits`` apart.
+
+    A banded bit-parallel edit distance: one step for each code point of the shorter line. Its state are two bit sets
+    over the 2 * edits + 1 cells around the diagonal, those one above and those one below the cell over them. The distance
+    is followed along the diagonal that ends in the last cell; once it is above ``edits``, the rest is passed over.
+    """
+    width = 2 * edits + 1
+    band = (1 << width) - 1
+    # bit i is row j + i - edits of column j; rows outside the line equal nothing
+    equal = " | ".join(f"if(get(x.longer, s.j + {i - edits}) <=> c, {1 << i}L, 0L)" for i in range(width))
+    kept = f"((((m & s.up) + s.up) ^ s.up) | m | s.down) & {band}L"  # cells equal to the one at their upper left
+    up = f"((z & s.up) | ~(shiftright(z, 1) | s.down | ~(z | s.up))) & {band}L"
+    down = f"shiftright(z, 1) & (s.down | ~(z | s.up)) & {band}L"
+    after = f"named_struct('j', s.j + 1, 'n', s.n + if(z & shiftleft(1L, {edits} + x.d) = 0, 1, 0), 'up', {up}, 'down', {down})"
+    step = f"get(transform(transform(array({equal}), m -> {kept}), z -> {after}), 0)"  # arrays of one element name a value
+    start = f"named_struct('j', 0, 'n', x.d, 'up', {band & ~((1 << edits) - 1)}L, 'down', 0L)"
+    longer, shorter = (f"split(if((length({a}) < length({b})) = {swap}, {b}, {a}), '')" for swap in ("true", "false"))
+    # the slice, as splitting the empty line gives an empty string
+    x = f"named_struct('longer', {longer}, 'shorter', slice({shorter}, 1, least(length({a}), length({b}))), 'd', abs(length({a}) - length({b})))"
+    return F.expr(f"get(transform(array({x}), x -> aggregate(x.shorter, {start}, (s, c) -> if(s.n > {edits}, s, {step})).n <= {edits}), 0)")
 
 
 def _texts(documents: DataFrame, firsts: DataFrame, needed: DataFrame) -> DataFrame:
@@ -124,14 +142,14 @@ def near_links(documents: DataFrame, firsts: DataFrame, edits: int) -> DataFrame
     needed = few.select(F.col("src").alias("h")).union(few.select("dst")).union(asking.select("h")).union(inside.select("h"))
     texts = staged(_texts(documents, firsts, staged(needed.distinct(), "needed")), "line_texts")
     a, b = (texts.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line")) for x in ("src", "dst"))
-    linked = few.join(a, "src").join(b, "dst").where(_edit("src_line", "dst_line", edits)).select("src", "dst")
+    linked = few.join(a, "src").join(b, "dst").where(within("src_line", "dst_line", edits)).select("src", "dst")
     # each edit changes at most two letter counts, so at most two bits of their parities
     bit = "aggregate(split(line, ''), 0L, (s, c) -> s ^ shiftleft(1L, cast(pmod(hash(c), 64) as int)))"
     sketched = texts.select("h", "line", F.expr(bit).alias("bits"))
     inside = inside.join(sketched, "h").select("key", F.col("h").alias("dst"), F.col("line").alias("dst_line"), F.col("bits").alias("dst_bits"))
     asking = asking.join(sketched, "h").select(F.col("key").alias("own"), F.col("h").alias("src"), F.col("line").alias("src_line"), F.col("bits").alias("src_bits"))
     close = F.bit_count(F.col("src_bits").bitwiseXOR(F.col("dst_bits"))) <= 2 * edits
-    crowded = asking.join(inside, (F.col("own") == F.col("key")) & (F.col("src") != F.col("dst")) & close & _edit("src_line", "dst_line", edits))
+    crowded = asking.join(inside, (F.col("own") == F.col("key")) & (F.col("src") != F.col("dst")) & close & within("src_line", "dst_line", edits))
     return linked.union(crowded.select("src", "dst")).distinct()
 
 

@@ -73,6 +73,28 @@ def test_matches_brute_force(spark, edits):
     assert got == brute(texts, edits)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_bit_parallel_distance(spark, edits):
+    rng, pairs = random.Random(edits), [("", ""), ("", "a"), ("abc", ""), ("same", "same")]
+    for _ in range(1500):
+        a = b = "".join(rng.choice("abé𝄞") for _ in range(rng.randint(1, 30)))
+        for _ in range(rng.randint(0, 5)):
+            p = rng.randrange(len(b) + 1)
+            b = b[:p] + rng.choice(["", "a", "𝄞", "bé"]) + b[p + rng.randint(0, 1) :]
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.within("a", "b", edits).alias("near"))
+    assert all(r["near"] == (distance(r["a"], r["b"]) <= edits) for r in df.collect())
+
+
+@pytest.mark.parametrize("limits", [(1, 10_000), (1, 1)])
+def test_places_in_blocks_or_shuffled(spark, monkeypatch, limits):
+    texts = corpus()[:25]
+    monkeypatch.setattr(linededup, "BLOCK", limits[0])
+    monkeypatch.setattr(linededup, "BLOCKS", limits[1])
+    got = {tuple(r) for r in linededup.repeats(documents(spark, texts)).select("doc_id", "line_no", "first_doc", "first_line").collect()}
+    assert got == brute(texts, linededup.EDITS)
+
+
 def test_only_jvm_operators(spark):
     plan = linededup.repeats(documents(spark, ["a\nb"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
