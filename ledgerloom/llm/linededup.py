@@ -33,7 +33,7 @@ EDITS = 2
 MIN_NEAR = 24
 #: A document keeps its repeats if they are more than this share of its characters: it is a copy, not a text with boilerplate.
 MAX_SHARE = 0.5
-#: Documents whose needed lines are broadcast at once (about 100 bytes each), and the most such blocks; beyond that the texts are shuffled.
+#: Documents whose needed lines are broadcast in one block (about 100 bytes each), and the most such blocks; beyond that the texts are shuffled.
 BLOCK = 500_000
 BLOCKS = 8
 
@@ -105,8 +105,9 @@ def within(a: str, b: str, edits: int) -> Column:
 def _texts(documents: DataFrame, firsts: DataFrame, needed: DataFrame) -> DataFrame:
     """(h, line) of the needed hashes, each from the place where its line stands first, so only documents with such a line are cut.
 
-    The places of needed lines are counted: up to ``BLOCKS`` blocks of ``BLOCK`` documents are broadcast one by one,
-    each for a scan of the documents, so that their texts are not shuffled. More of them are joined by a shuffle.
+    The places of needed lines are counted: up to ``BLOCKS`` blocks of ``BLOCK`` documents are broadcast, each for a
+    scan of the documents, so that their texts are not shuffled. Spark may hold all blocks at once, so the bound is
+    ``BLOCKS * BLOCK`` documents. More of them are joined by a shuffle.
     Rows of one doc_id may have different texts; the hash tells.
     """
     places = firsts.select("h", "doc_id", "line_no").join(needed, "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "line_no")).alias("at"))
