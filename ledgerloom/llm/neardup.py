@@ -9,10 +9,13 @@ probability equal to their weighted Jaccard similarity, and the work grows with
 
 Equal texts collapse to their smallest doc_id first. The rest meet in ``BANDS`` bands of ``ROWS`` coordinates; a
 pair of similarity 0.8 misses every band with probability 3e-6. The bands come in ``ROUNDS`` rounds. A bucket of up to
-``SMALL`` texts compares all its pairs. A larger one does not: each member is compared with the bucket's pivot, the
+``SMALL`` texts compares all its pairs. In a larger one each member is first compared with the bucket's pivot, the
 member with the most links so far, and later rounds bring other buckets and pivots for what is not in the pivot's
-class yet. Every compared pair is verified exactly on the texts. Classes are the connected components of the
-verified links. All steps are linear in the documents, whatever the sizes of groups.
+class yet. Further rounds take random members as pivots, as long as each of them halves what is left. Then all pairs of
+different classes that share bands and were not compared yet are compared at once. Every compared pair is verified
+exactly on the texts. Classes are the connected components of the verified links. The rounds are linear in the
+documents, whatever the sizes of groups; the last step is linear in the pairs left, which in a large
+family of texts that are not near each other are all of its pairs.
 
 Edge cases: a null text is a class of its own; texts that are equal are one class, also empty ones and ones
 without words; words beyond that follow ``\\w+``; very long texts are whole; an empty table gives no rows; a
@@ -42,7 +45,7 @@ ROUNDS = 4
 SMALL = 8
 #: Pairs that share fewer bands are not compared; of pairs of similarity 0.8 that is 5 in 100,000.
 LEAST_SHARED = 2
-#: Pivots that a member is compared with in one round.
+#: Pivots that a member is compared with in one round; the order of the work only, as the last step compares what is left.
 PIVOTS = 2
 CHUNK_CHARS = 1_000_000
 CHUNK_DOCS = 1000
@@ -196,6 +199,28 @@ def _candidates(own: DataFrame, seed: int) -> DataFrame:
     return pairs.unionByName(crowded)
 
 
+def _mixed(own: DataFrame) -> DataFrame:
+    """(key, n, top, most) of the large buckets of several classes: members, the largest class and its members. own: key, rep, class."""
+    sizes = own.groupBy("key", "class").agg(F.count("*").alias("k"))
+    stats = sizes.groupBy("key").agg(F.sum("k").alias("n"), F.max(F.struct("k", "class")).alias("m"))
+    return staged(stats.select("key", "n", F.col("m.class").alias("top"), F.col("m.k").alias("most")).where((F.col("n") > SMALL) & (F.col("most") < F.col("n"))), "mixed")
+
+
+def _rest(own: DataFrame, mixed: DataFrame, keys: DataFrame) -> DataFrame:
+    """(u, v) of all pairs of different classes in large buckets, at the first band that they share.
+
+    Of two classes one at least is not the bucket's largest, so only members of the others meet all members. Pairs
+    whose first shared bucket is a small one were compared in the rounds.
+    """
+    banded = own.join(mixed.select("key", "top"), "key").join(keys, "rep")
+    left = banded.where("class <> top").select("key", F.col("rep").alias("src"), F.col("class").alias("one"), F.col("bands").alias("sb"))
+    right = banded.select("key", F.col("rep").alias("dst"), F.col("class").alias("two"), F.col("bands").alias("db"), (F.col("class") == F.col("top")).alias("of_top"))
+    common = F.array_intersect("sb", "db")
+    once = (F.col("one") != F.col("two")) & (F.col("of_top") | (F.col("src") < F.col("dst"))) & (F.get(common, F.lit(0)) == F.col("own")) & (F.size(common) >= LEAST_SHARED)
+    pairs = left.withColumnRenamed("key", "own").join(right, (F.col("own") == F.col("key")) & once)
+    return pairs.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+
+
 def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every document; class_id is the smallest doc_id of the class."""
     sig = staged(signatures(documents), "signatures")
@@ -208,27 +233,46 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts = staged(documents.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "compared")
     keys = groups.select("rep", "bands")
     links = tested = labels = None
-    for turn in range(ROUNDS):
-        own = members.where(F.col("band") % ROUNDS == turn)
+    turn, before, size = 0, None, members.count()
+    while True:
+        own = members if turn >= ROUNDS else members.where(F.col("band") % ROUNDS == turn)
         if links is None:
-            own = own.select("key", "rep", F.col("rep").alias("class"), F.lit(0).alias("degree"))
+            own = own.select("key", "band", "rep", F.col("rep").alias("class"), F.lit(0).alias("degree"))
         else:
             known = labels.withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
             degree = links.select(F.col("src").alias("rep")).union(links.select("dst")).groupBy("rep").agg(F.count("*").alias("d"))
-            own = own.join(known.join(degree, "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("class"), F.coalesce("d", F.lit(0)).alias("degree"))
-        pairs = _candidates(own, turn).groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.min("pivot").alias("pivot"), F.max("src").alias("src"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        both = pairs.join(keys.select(F.col("rep").alias("u"), F.col("bands").alias("ub")), "u").join(keys.select(F.col("rep").alias("v"), F.col("bands").alias("vb")), "v")
-        shared = both.withColumn("shared", F.size(F.array_intersect("ub", "vb"))).where(F.col("shared") >= LEAST_SHARED)
-        # of its pivots, a member meets the most similar ones in this round; it meets others in later rounds if it stays alone
-        best = F.row_number().over(Window.partitionBy("src", "pivot").orderBy(F.desc("shared"), "u", "v"))
-        pairs = staged(shared.select("u", "v", "pivot", "src", "shared").withColumn("k", best).where(~F.col("pivot") | (F.col("k") <= PIVOTS)).select("u", "v"), "pairs")
+            own = own.join(known.join(degree, "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("class"), F.coalesce("d", F.lit(0)).alias("degree"))
+        last = False
+        if turn >= ROUNDS:
+            own = staged(own.withColumn("degree", F.lit(0)), "classed")  # pivots are random from here on
+            mixed = _mixed(own)
+            left = mixed.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
+            if not left:
+                break
+            last = left <= size or before is not None and 2 * left > before
+            before = left
+        if last:
+            pairs = _rest(own, mixed, keys)
+            pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        else:
+            if turn >= ROUNDS:
+                own = own.where(F.col("band") % ROUNDS == turn % ROUNDS)
+            pairs = _candidates(own, turn).groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.min("pivot").alias("pivot"), F.max("src").alias("src"))
+            if tested is not None:
+                pairs = pairs.join(tested, ["u", "v"], "left_anti")
+            both = pairs.join(keys.select(F.col("rep").alias("u"), F.col("bands").alias("ub")), "u").join(keys.select(F.col("rep").alias("v"), F.col("bands").alias("vb")), "v")
+            shared = both.withColumn("shared", F.size(F.array_intersect("ub", "vb"))).where(F.col("shared") >= LEAST_SHARED)
+            # of its pivots, a member meets the most similar ones in this round; it meets others later if it stays alone
+            best = F.row_number().over(Window.partitionBy("src", "pivot").orderBy(F.desc("shared"), "u", "v"))
+            pairs = staged(shared.select("u", "v", "pivot", "src", "shared").withColumn("k", best).where(~F.col("pivot") | (F.col("k") <= PIVOTS)).select("u", "v"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = staged(verified(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")), texts, least), "links")
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             labels = components(links)
+        if last:
+            break
+        turn += 1
     named = groups.select("h1", "h2", "rep")
     if labels is None:
         named = named.withColumn("class_id", F.col("rep"))

@@ -58,6 +58,16 @@ def test_classes_match_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+@pytest.mark.parametrize("seed", [1])
+def test_family_around_the_threshold_matches_brute_force(spark, seed):
+    # every copy is edited on its own, so a copy is near some others only, and mostly not near a given pivot
+    rng = random.Random(seed)
+    base = words(900 + seed, 200)
+    texts = [" ".join(edited(rng, base, rng.choice((2, 3, 4, 5)))) for _ in range(120)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = documents(spark, ["a b c d e f", "x"])
     assert not neardup.classes(df.where("false")).collect()
