@@ -4,9 +4,10 @@ Training counts the letter trigrams (lower-cased, with word edges) of each langu
 ``BUCKETS`` hash buckets; the table has a bounded size for each language. A document is a bag of words, and a
 word's likelihood in a language is the product of its trigrams' smoothed probabilities. Expectation-maximisation
 estimates the shares in which the languages generated the document's words. The language set is chosen by penalised
-likelihood: among the nested sets of the 1, 2, ... ``MAX_SET`` largest shares, each fitted again, the one with
-the greatest log-likelihood less half a log(words) for every further language. The prediction is the language with
-the largest share.
+likelihood: among the nested sets of the 1, 2, ... largest shares, up to the last one of at least one word, each
+fitted again, the one with the greatest log-likelihood less half a log(words) for every further language. The
+prediction is the language with the largest share. A document's fit ends when its own shares settle, whatever else is
+in its chunk.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0, as is everything if there was nothing
 to learn from; ties go to the language that sorts first; repeated rows get equal predictions; very long texts
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import arrow, chunks
 
 BUCKETS = 1 << 16
-MAX_SET = 3
 UNKNOWN = "und"
 CHUNK_CHARS = 400_000
 ROUNDS = 25
@@ -102,14 +102,18 @@ def _fit(e: np.ndarray, first: np.ndarray, words: np.ndarray, allowed: np.ndarra
     """Shares (document, language) and log-likelihoods. e: word, language; first: each document's first word; no document is empty."""
     doc = np.repeat(np.arange(len(words)), words)
     share = allowed / allowed.sum(1, keepdims=True)
+    todo, part, at = np.arange(len(words)), e, first  # documents that still move, their words
     for _ in range(ROUNDS):
-        r = e * share[doc]
+        r = part * np.repeat(share[todo], words[todo], 0)
         r /= r.sum(1, keepdims=True)
-        new = np.add.reduceat(r, first, 0) / words[:, None]
-        done = np.abs(new - share).max() < 1e-3
-        share = new
-        if done:
+        new = np.add.reduceat(r, at, 0) / words[todo][:, None]
+        moved = np.abs(new - share[todo]).max(1) >= 1e-3
+        share[todo] = new
+        if not moved.any():
             break
+        if not moved.all():
+            part, todo = part[np.repeat(moved, words[todo])], todo[moved]
+            at = np.concatenate([[0], np.cumsum(words[todo])[:-1]])
     return share, np.add.reduceat(np.log((e * share[doc]).sum(1)), first)
 
 
@@ -130,7 +134,7 @@ def mixtures(texts: list[str | None], model: Model) -> np.ndarray:
     best = np.zeros_like(share)
     best[np.arange(len(own)), order[:, 0]] = 1
     score = np.add.reduceat(np.log(e), first, 0)[np.arange(len(own)), order[:, 0]]
-    for m in range(2, min(MAX_SET, e.shape[1]) + 1):
+    for m in range(2, e.shape[1] + 1):
         # a language that has not even one word to itself cannot pay its penalty
         some = np.flatnonzero(np.take_along_axis(share, order[:, m - 1 : m], 1)[:, 0] * words >= 1)
         if not len(some):

@@ -63,6 +63,19 @@ def test_chunks_do_not_change_results(spark, labelled, monkeypatch):
     assert np.allclose(whole, parts, atol=2e-2) and (whole.argmax(1) == parts.argmax(1)).all()
 
 
+def test_more_than_three_languages_and_chunks_of_any_company(spark):
+    ends = {"de": "ung", "en": "ing", "es": "dad", "fr": "eau", "it": "zzo"}
+    texts = {lang: [" ".join(w + end for w in words(1000 * k + i, 40)) for i in range(20)] for k, (lang, end) in enumerate(ends.items())}
+    m = langid.train(documents(spark, sum(texts.values(), []), [lang for lang in ends for _ in range(20)]))
+    for n in (4, 5):
+        mixed = " ".join(texts[lang][0] for lang in list(ends)[:n])
+        share = langid.mixtures([mixed], m)[0]
+        assert (share > 0).sum() == n and share[:n].min() > 0.1
+    own = [texts[a][1] + " " + texts[b][2][: 20 * k] for k, (a, b) in enumerate((("de", "en"), ("es", "fr"), ("it", "de"), ("en", "it")))]
+    whole = langid.mixtures(own, m)
+    assert all(np.allclose(whole[i], langid.mixtures([t], m)[0], atol=1e-9) for i, t in enumerate(own))
+
+
 @pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
 def test_held_out_accuracy(spark):
     df = spark.read.parquet(f"{SMALL}/documents.parquet")
