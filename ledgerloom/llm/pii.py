@@ -55,6 +55,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_AT = re.compile(r"[\[({]at[\])}]", re.I)
 _SPELLED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]{2,63}+){1,4}+", re.IGNORECASE
 )
@@ -109,8 +110,7 @@ def wider_spans(text: str) -> list[Span]:
     if any(d in text for d in "0123456789"):  # what the base rules drop is voted on as well: it shows what is not personal data
         out += [(*m.span(), 1) for m in _IP.finditer(text) if not all(map(_byte, m[0].split(".")))]
         out += [(*m.span(), 2) for m in _CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and not (len(d) > 13 and luhn(d))]
-    low = text if "at" in text else text.lower()
-    if any(x in low for x in ("[at]", "(at)", "{at}")):
+    if _AT.search(text):
         out += [(*m.span(), 0) for m in _SPELLED.finditer(text)]
     if any(d in text for d in "0123456789"):
         out += [(*m.span(), 2) for m in _WIDE_CARD.finditer(text)]

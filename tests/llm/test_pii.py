@@ -35,6 +35,12 @@ def test_base_cases(text):
     assert pii.base_spans(text) == plain(text)
 
 
+@pytest.mark.parametrize("at", ["[at]", "[AT]", "(At)", "{aT}"])
+def test_spelled_out_addresses_in_any_case(at):
+    text = f"write to jane {at} host [DOT] org at noon"
+    assert [text[a:b] for a, b, kind in pii.wider_spans(text) if kind == 0] == [f"jane {at} host [DOT] org"]
+
+
 def test_long_runs_are_linear():
     for c in ("a", "1", "1.", "+1", "a@", "1 "):
         pii.base_spans(c * 100_000)
