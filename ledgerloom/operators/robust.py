@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from math import exp
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.tails import sign_test
 from .ranks import running
@@ -103,16 +107,67 @@ def bootstrap(df: DataFrame, x: str, order: str, iterations: int = 20_000, seed:
     return own.groupBy("g").applyInPandas(run, "lower_95 double, median double, upper_95 double")
 
 
-def bootstrap_parallel(df: DataFrame, group: list[str], x: str, key: str, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """Poisson bootstrap for samples of any size: each row weighs into each replicate by a hash of its key, in one pass of partial sums."""
-    from math import exp, factorial
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    steps, total = [], 0.0
-    for k in range(8):
-        total += exp(-1) / factorial(k)
-        steps.append(total)
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("_r"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)).alias("u")
-    own = df.where(F.col(x).isNotNull()).select(*group, x, key, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"))
-    weight = sum(((F.col("u") > s).cast("int") for s in steps), F.lit(0))
-    means = own.select(*group, x, "_r", u).withColumn("w", weight).groupBy(*group, "_r").agg((F.sum(F.col("w") * F.col(x)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+
+def _poisson(h: np.ndarray) -> np.ndarray:
+    """Poisson(1) numbers from uniform 64-bit ones."""
+    u = (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    w = np.zeros(u.shape)
+    total = term = exp(-1)
+    for k in range(1, 20):
+        over = u > total
+        if not over.any():
+            break
+        w += over
+        term /= k
+        total += term
+    return w
+
+
+def bootstrap_parallel(df: DataFrame, group: list[str], x: str, key: str, replicates: int = 20_000, seed: int = 7) -> DataFrame:
+    """Poisson bootstrap for samples of any size: each row weighs into each replicate by a hash of its key, in one pass of partial sums.
+
+    A task adds up blocks of rows and replicates, and gives one row for each group and replicate.
+    """
+    own = df.where(F.col(x).isNotNull()).select(*group, F.col(x).cast("double").alias("_x"), F.xxhash64(F.col(key), F.lit(seed)).alias("_h"))
+    schema = StructType(own.schema.fields[: len(group)]).add("_r", "integer").add("_w", "double").add("_s", "double")
+    numbers = np.arange(1, replicates + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def flush(types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+            for name, (w, s) in sums.items():
+                columns = [pa.array([v] * replicates, t) for v, t in zip(name, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(w), pa.array(s)], names=schema.names)
+            sums.clear()
+
+        types: list[pa.DataType] = []
+        for b in batches:
+            types = [b.schema.field(k).type for k in range(len(group))]
+            names = list(zip(*(b.column(k).to_pylist() for k in range(len(group))), strict=True)) if group else [()] * b.num_rows
+            value, h = b.column(len(group)).to_numpy(zero_copy_only=False), b.column(len(group) + 1).to_numpy(zero_copy_only=False).view(np.uint64)
+            places: dict[tuple, list[int]] = {}
+            for i, name in enumerate(names):
+                places.setdefault(name, []).append(i)
+            for name, at in places.items():
+                total = sums.setdefault(name, np.zeros((2, replicates)))
+                for i in range(0, len(at), 256):
+                    rows = at[i : i + 256]
+                    for j in range(0, replicates, 1024):
+                        r = numbers[j : j + 1024].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                        w = _poisson(_mix(h[rows][:, None] + r))
+                        total[0, j : j + 1024] += w.sum(0)
+                        total[1, j : j + 1024] += value[rows] @ w
+                if len(sums) >= 100:
+                    yield from flush(types)
+        yield from flush(types)
+
+    # spread over all cores, as the work is in the replicates and not in the rows
+    parts = own.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+    means = parts.groupBy(*group, "_r").agg((F.sum("_s") / F.nullif(F.sum("_w"), F.lit(0.0))).alias("m"))
     return means.groupBy(*group).agg(*[F.percentile("m", F.lit(q)).alias(n) for q, n in ((0.025, "lower_95"), (0.5, "median"), (0.975, "upper_95"))])

@@ -298,7 +298,7 @@ def q20_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def q21_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap interval of the mean delta by replicates in parallel."""
-    return robust.bootstrap_parallel(_pairs(spark, sf_dir), ["o_orderpriority"], "delta", "o_custkey", 100)
+    return robust.bootstrap_parallel(_pairs(spark, sf_dir), ["o_orderpriority"], "delta", "o_custkey", 20_000)
 
 
 @_query("""

@@ -125,6 +125,23 @@ def test_robust(spark):
     assert wide["lower_95"] < wide["median"] < wide["upper_95"]
 
 
+def test_bootstrap_query_has_the_replicates_of_the_reference(spark, monkeypatch):
+    from ledgerloom import queries
+
+    called = []
+    monkeypatch.setattr(queries, "_pairs", lambda *_: None)
+    monkeypatch.setattr(robust, "bootstrap_parallel", lambda *a: called.append(a[4]))
+    queries.q21_bootstrap_ci(spark, "")
+    assert called == [20_000]
+
+
+def test_bootstrap_in_blocks_is_near_the_normal_interval(spark):
+    df = spark.createDataFrame([(i % 2, i, float(i % 7)) for i in range(700)], "g int, i int, x double")
+    half = 1.96 * 2 / 350**0.5
+    for r in robust.bootstrap_parallel(df, ["g"], "x", "i", 5000).collect():
+        assert r["median"] == pytest.approx(3, abs=0.02) and r["lower_95"] == pytest.approx(3 - half, abs=0.03) and r["upper_95"] == pytest.approx(3 + half, abs=0.03)
+
+
 def reference_ols(x, y, kind):
     bread = np.linalg.pinv(x.T @ x)
     beta = bread @ x.T @ y
