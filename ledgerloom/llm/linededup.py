@@ -31,7 +31,7 @@ from .common import components, staged
 
 EDITS = 2
 MIN_NEAR = 24
-#: A document keeps its repeats if they are more than this share of its characters: it is a copy, not a text with boilerplate.
+#: A document keeps its repeats of other documents if they are more than this share of its characters: it is a copy, not a text with boilerplate.
 MAX_SHARE = 0.5
 #: Documents whose needed lines are broadcast in one block (about 100 bytes each), and the most such blocks; beyond that the texts are shuffled.
 BLOCK = 500_000
@@ -182,16 +182,29 @@ def by_document(documents: DataFrame, edits: int = EDITS) -> DataFrame:
 def deduplicated(documents: DataFrame, edits: int = EDITS, max_share: float = MAX_SHARE) -> DataFrame:
     """The documents without their repeated lines, in the same columns; ``n_chars``, if there, follows the text.
 
-    A document of which more than ``max_share`` of the characters are repeats keeps them: it is a copy of whole
-    texts, which near-duplicate detection handles better than what would be left of it.
+    Lines that repeat a line of their own document always go. If more than ``max_share`` of the characters left are
+    repeats of other documents' lines, those stay: the document is a copy of whole texts, which near-duplicate
+    detection handles better than what would be left of it.
     """
-    found = staged(by_document(documents, edits).select("doc_id", "repeat_chars", F.col("repeats.line_no").alias("drop")), "repeats")
+    same = F.col("first_doc").eqNullSafe(F.col("doc_id"))
+    met = repeats(documents, edits).distinct().groupBy("doc_id", "first_doc", "first_line").agg(
+        F.min(F.struct("line_no", "n_chars")).alias("lead"), F.sum("n_chars").alias("chars"), F.collect_list("line_no").alias("all")
+    )
+    # the first line of a class that started in another document repeats that one, the class's further lines repeat their own document's
+    split = met.select(
+        "doc_id", "lead", (F.col("chars") - F.when(same, 0).otherwise(F.col("lead.n_chars"))).alias("own_chars"), F.when(~same, F.col("lead.n_chars")).otherwise(0).alias("other_chars"),
+        F.when(same, F.col("all")).otherwise(F.array_remove("all", F.col("lead.line_no"))).alias("own"), F.when(~same, F.col("lead.line_no")).alias("other"),
+    )
+    found = split.groupBy("doc_id").agg(F.sum("own_chars").alias("own_chars"), F.sum("other_chars").alias("other_chars"), F.flatten(F.collect_list("own")).alias("own"), F.collect_list("other").alias("other"))
+    found = staged(found, "repeats")
     # names are qualified, so the documents' own columns cannot clash with those of the repeats
-    text, few = F.col("docs.text"), F.col("reps.repeat_chars") <= max_share * F.length("docs.text")
-    cut = F.expr("array_join(filter(split(docs.text, '\\n'), (x, i) -> not array_contains(reps.drop, i)), '\\n')")
-    new = {"text": F.when(few, cut).otherwise(text)}
+    text = F.col("docs.text")
+    few = f"reps.other_chars <= {max_share} * (length(docs.text) - reps.own_chars)"
+    cut = F.expr(f"array_join(filter(split(docs.text, '\\n'), (x, i) -> not array_contains(reps.own, i) and not ({few} and array_contains(reps.other, i))), '\\n')")
+    few = F.expr(few)
+    new = {"text": F.when(few.isNotNull(), cut).otherwise(text)}
     if "n_chars" in documents.columns:
-        size = F.when(few, F.length(cut)).when(text.isNotNull(), F.length(text)).otherwise(F.col("docs.n_chars"))
+        size = F.when(few.isNotNull(), F.length(cut)).when(text.isNotNull(), F.length(text)).otherwise(F.col("docs.n_chars"))
         new["n_chars"] = size.cast(documents.schema["n_chars"].dataType)
     own = documents.alias("docs").join(found.alias("reps"), F.col("docs.doc_id").eqNullSafe(F.col("reps.doc_id")), "left")
     return own.select(*[new.get(c, F.col(f"docs.`{c}`")).alias(c) for c in documents.columns])

@@ -110,6 +110,15 @@ def test_removal_keeps_first_lines_and_whole_copies(spark):
     assert linededup.deduplicated(df).schema.names == df.schema.names and len(got) == 6
 
 
+def test_removal_of_a_documents_own_repeats(spark):
+    chant, one, two = "the same words are sung again and again", " ".join(words(1, 30)), " ".join(words(2, 30))
+    whole = one + "\n" + two
+    texts = ["\n".join([chant] * 9 + ["end"]), whole, whole + "\n" + one + "\n" + one]
+    got = {r["doc_id"]: r for r in linededup.deduplicated(documents(spark, texts)).collect()}
+    assert got[0]["text"] == chant + "\nend" and got[0]["n_chars"] == len(chant) + 4
+    assert got[1]["text"] == whole and got[2]["text"] == whole
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = documents(spark, ["x\ny"])
     assert not linededup.repeats(df.where("false")).collect()
