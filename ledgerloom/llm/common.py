@@ -56,24 +56,59 @@ def arrow(fields: dict[str, pa.DataType], columns: dict[str, list]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(columns[k], type=t) for k, t in fields.items()], names=list(fields))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+class Tables:
+    """Intermediate tables of one job in the shared folder. Each can be dropped once what reads it has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.base = f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, f"{self.base}/{name}")
+
+
+#: Most ids that are broadcast: about 64 MB as a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def only(documents: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows whose doc_id is among ``ids`` (distinct, of a written table), or is not.
+
+    The ids are counted first: up to ``BROADCAST_IDS`` are broadcast, so that the documents are not shuffled.
+    More of them are joined by a shuffle. A null doc_id is among none.
+    """
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    return documents.join(side, "doc_id", "left_semi" if keep else "left_anti").select(documents.columns)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as (src, dst) longs; a component is its smallest node.
 
     Every round each node takes the smallest label next to it, then the label of its label. Rounds end when
-    nothing changes. The labels are written to the shared folder each round. Nodes without edges get no row.
+    nothing changes. The labels are written to the shared folder each round, and the round before's are deleted.
+    Nodes without edges get no row.
     """
-    both = staged(
+    tables, turn = Tables(edges.sparkSession), 0
+    both = tables.write(
         edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "edges"
     )
-    labels = staged(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    labels = tables.write(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "labels0")
+    while True:
+        turn += 1
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "component")
-        least = near.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
+        least = near.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"), F.max("component").alias("most"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        jumped = least.join(up, "component").select("node", F.least("component", "above").alias("component"))
-        new = staged(jumped, "labels")
-        moved = new.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count()
-        labels = new
-        if not moved:
+        # a label only falls, so nothing moved if each node saw one label and its label has itself above it
+        jumped = least.join(up, "component").select("node", F.least("component", "above").alias("component"), (F.col("most") > F.least("component", "above")).alias("moved"))
+        new = tables.write(jumped, f"labels{turn}")
+        tables.drop(f"labels{turn - 1}")
+        labels = new.select("node", "component")
+        if not new.where("moved").limit(1).count():
+            tables.drop("edges")
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

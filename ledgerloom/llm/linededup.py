@@ -206,5 +206,6 @@ def deduplicated(documents: DataFrame, edits: int = EDITS, max_share: float = MA
     if "n_chars" in documents.columns:
         size = F.when(few.isNotNull(), F.length(cut)).when(text.isNotNull(), F.length(text)).otherwise(F.col("docs.n_chars"))
         new["n_chars"] = size.cast(documents.schema["n_chars"].dataType)
-    own = documents.alias("docs").join(found.alias("reps"), F.col("docs.doc_id").eqNullSafe(F.col("reps.doc_id")), "left")
+    # the lists grow with the documents, so they are joined by a shuffle at any size
+    own = documents.alias("docs").join(found.hint("shuffle_hash").alias("reps"), F.col("docs.doc_id").eqNullSafe(F.col("reps.doc_id")), "left")
     return own.select(*[new.get(c, F.col(f"docs.`{c}`")).alias(c) for c in documents.columns])

@@ -8,14 +8,19 @@ earliest dart; if a coordinate has none, the rank limit doubles. Two documents a
 probability equal to their weighted Jaccard similarity, and the work grows with the text plus ``k ln k``.
 
 Equal texts collapse to their smallest doc_id first. The rest meet in ``BANDS`` bands of ``ROWS`` coordinates; a
-pair of similarity 0.8 misses every band with probability 3e-6. The bands come in ``ROUNDS`` rounds. A bucket of up to
-``SMALL`` texts compares all its pairs. In a larger one each member is first compared with the bucket's pivot, the
-member with the most links so far, and later rounds bring other buckets and pivots for what is not in the pivot's
-class yet. Further rounds take random members as pivots, as long as each of them halves what is left. Then all pairs of
-different classes that share bands and were not compared yet are compared at once. Every compared pair is verified
-exactly on the texts. Classes are the connected components of the verified links. The rounds are linear in the
-documents, whatever the sizes of groups; the last step is linear in the pairs left, which in a large
-family of texts that are not near each other are all of its pairs.
+pair of similarity 0.8 misses every band with probability 3e-6. Buckets are compared in blocks of about ``BLOCK``
+members by a sketch, one byte of each coordinate, which travels instead of the text:
+
+1. Linking rounds. One member of each class of a bucket takes part, in the first round every text. In its block, each one
+   is paired with the most similar member before it, so a bucket gives at most one pair a member. Pairs are verified
+   exactly on the texts and classes are the connected components of the true links.
+2. Exact step. In every bucket that still holds several classes, members outside its largest class meet all members, block by
+   block. Every pair of different classes whose sketches agree in at least ``AGREE`` coordinates, and that was not
+   verified before, is verified. A pair of similarity 0.8 agrees in fewer with a probability of 4e-5. Buckets of more than
+   ``CROWD`` pairs take their texts along and are verified in the task, so that they never give out pairs but true links.
+
+So a link between different texts can only be missed by the two probabilities above, whatever the sizes of groups. Rounds
+are repeated while they at least halve the pairs that the exact step would compare.
 
 Edge cases: a null text is a class of its own; texts that are equal are one class, also empty ones and ones
 without words; words beyond that follow ``\\w+``; very long texts are whole; an empty table gives no rows; a
@@ -30,23 +35,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, chunks, components, staged
+from .common import Tables, arrow, chunks, components, only
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 5
-#: Each round takes a part of the bands, so what one round links need not be compared in the next.
-ROUNDS = 4
-#: A bucket of at most so many texts compares all its pairs, a larger one each member with its pivot.
-SMALL = 8
-#: Pairs that share fewer bands are not compared; of pairs of similarity 0.8 that is 5 in 100,000.
-LEAST_SHARED = 2
-#: Pivots that a member is compared with in one round; the order of the work only, as the last step compares what is left.
-PIVOTS = 2
+#: Members of a bucket that are compared with each other in one task at once.
+BLOCK = 512
+#: Coordinates of 160 in which a pair's sketches agree at least to be verified: four standard deviations below similarity 0.8.
+AGREE = 108
+#: Words of a block at most, about, where texts travel.
+BLOCK_WEIGHT = 400_000
+#: Pairs from which on a bucket is compared with its texts in the task instead of giving pairs to verify.
+CROWD = 1 << 12
+#: The exact step follows at once if it compares at most so many pairs for each member of a bucket.
+EASY = 64
+#: Bytes that one comparison of sketches may take.
+CELLS = 1 << 25
 CHUNK_CHARS = 1_000_000
 CHUNK_DOCS = 1000
 
@@ -143,136 +152,267 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, bands): a 128-bit hash of the text and its band keys; no keys for texts without words."""
+    """(doc_id, h1, h2, n, bands, sketch): a 128-bit hash of the text, its total weight, band keys and sketch; none of the last two for texts without words."""
+    fields = {"doc_id": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "n": pa.int64(), "bands": pa.list_(pa.int64()), "sketch": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = {"doc_id": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "bands": pa.list_(pa.int64())}
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, CHUNK_CHARS):
-                for c in range(a, b, CHUNK_DOCS):
-                    hashes = [xxhash.xxh3_128_intdigest(f"null {i}" if t is None else f"text {t}") for i, t in zip(ids[c : min(b, c + CHUNK_DOCS)], texts[c : min(b, c + CHUNK_DOCS)], strict=True)]
+            for first, end in chunks(texts, CHUNK_CHARS):
+                for c in range(first, end, CHUNK_DOCS):
+                    part = slice(c, min(end, c + CHUNK_DOCS))
+                    hashes = [xxhash.xxh3_128_intdigest(f"null {i}" if t is None else f"text {t}") for i, t in zip(ids[part], texts[part], strict=True)]
                     place = {h: k for k, h in reversed(list(enumerate(hashes)))}  # equal texts are signed once
                     sets = {h: s for h, k in place.items() if len((s := shingles(texts[c + k]))[0])}
-                    signed = dict(zip(sets, bands(signatures_of(list(sets.values()))), strict=True)) if sets else {}
-                    none = np.zeros(0, np.int64)
-                    out = {"doc_id": ids[c : c + len(hashes)], "h1": [(h >> 64) - (1 << 63) for h in hashes], "h2": [(h & (1 << 64) - 1) - (1 << 63) for h in hashes], "bands": [signed.get(h, none) for h in hashes]}
-                    yield arrow(fields, out)
+                    sig = signatures_of(list(sets.values())) if sets else np.zeros((0, BANDS * ROWS), _U)
+                    sketch = (sig >> _U(40)).astype(np.uint8)
+                    signed = {h: (int(s[1].sum()), b, x.tobytes()) for (h, s), b, x in zip(sets.items(), bands(sig), sketch, strict=True)}
+                    nothing = (0, [], None)
+                    rows = [((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), *signed.get(h, nothing)) for h in hashes]
+                    yield arrow(fields, dict(zip(fields, (ids[part], *map(list, zip(*rows, strict=True))), strict=True)))
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, n long, bands array<long>, sketch binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Those of the (src, dst) pairs whose texts have at least this similarity."""
+    """Those of the (u, v) pairs whose texts have at least this similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of the pivots, which come again and again
-        for batch in batches:
-            keep = []
-            for dst, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                if dst not in last:
-                    if len(last) > 64:
-                        last.clear()
-                    last[dst] = shingles(b)
-                keep.append(similarity(shingles(a), last[dst]) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-    left = pairs.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("a")), "src")
-    both = left.join(texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("b")), "dst")
-    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
-
-
-def _candidates(own: DataFrame, seed: int) -> DataFrame:
-    """(src, dst, pivot) of one round. own: key, rep, class, degree.
+        last: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # texts that come again and again are cut once
+        size = 0
+
+        def cut(name: int, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal size
+            if name not in last:
+                if size > 4 * CHUNK_CHARS:
+                    last.clear()
+                    size = 0
+                last[name] = shingles(text)
+                size += len(text or "")
+            return last[name]
 
-    All pairs of small buckets; in a larger one each member with the pivot, the member of most links, then of the
-    least hash. Pairs of one class are left out.
+        for batch in batches:
+            u, v, a, b = (c.to_pylist() for c in batch.columns)
+            keep = [similarity(cut(i, x), cut(j, y)) >= least for i, j, x, y in zip(u, v, a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
+    both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _whole(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by the columns ``by``, in portions of whole groups, and where the groups of a portion begin (with its end)."""
+    kept: pa.Table | None = None
+
+    def cuts(part: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(part.num_rows, bool)
+        for c in by:
+            x = part.column(c).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        kept = part if kept is None else pa.concat_tables([kept, part])
+        whole = kept.combine_chunks().to_batches()[0] if kept.num_rows else None
+        if whole is None or not len(at := cuts(whole)):
+            continue
+        yield whole.slice(0, at[-1]), np.concatenate([[0], at])
+        kept = pa.Table.from_batches([whole.slice(at[-1])])
+    if kept is not None and kept.num_rows:
+        whole = kept.combine_chunks().to_batches()[0]
+        yield whole, np.concatenate([[0], cuts(whole), [whole.num_rows]])
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the total weights allow a similarity of 0.8."""
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+
+
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): each member of a group with the most similar one before it, if any is similar enough. Groups of one size are compared together."""
+    for part, edge in _whole(batches, ["key", "block"]):
+        rep, n, sketch = part.column("rep").to_numpy(), part.column("n").to_numpy(), _sketches(part.column("sketch"))
+        first, size = edge[:-1], np.diff(edge)
+        for s in np.unique(size[size > 1]):
+            group = first[size == s]
+            step = max(1, CELLS // int(s * s * sketch.shape[1]))
+            for g in range(0, len(group), step):
+                at = group[g : g + step, None] + np.arange(s)
+                # a row at a time, so that a large block takes no more than its own size
+                for i in range(1, s) if s > 16 else [slice(None)]:
+                    mine, others = (at[:, i, None], at[:, :i]) if s > 16 else (at[:, :, None], at[:, None, :])
+                    agree = (sketch[mine] == sketch[others]).sum(-1, dtype=np.int32)
+                    agree = np.where(_close(n[mine], n[others]) & (rep[mine] > rep[others]), agree, 0)
+                    best = agree.argmax(-1)
+                    on = np.take_along_axis(agree, best[..., None], -1)[..., 0] >= AGREE
+                    rows = at[:, i] if s > 16 else at
+                    partner = at[np.arange(len(at)).reshape(-1, *[1] * (best.ndim - 1)), best]
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[partner[on]]), pa.array(rep[rows[on]])], names=["u", "v"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): all similar enough pairs of different classes between the two sides of each group; pairs within the left side once."""
+    for part, edge in _whole(batches, ["key", "block", "other"]):
+        rep, cls, n = (part.column(c).to_numpy() for c in ("rep", "class", "n"))
+        left, of_top, sketch = part.column("left").to_numpy(zero_copy_only=False), part.column("of_top").to_numpy(zero_copy_only=False), _sketches(part.column("sketch"))
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            rows, others = a + np.flatnonzero(left[a:b]), a + np.flatnonzero(~left[a:b])
+            found: list[np.ndarray] = []
+            step = max(1, CELLS // max(1, len(others) * sketch.shape[1]))
+            for g in range(0, len(rows), step):
+                mine = rows[g : g + step, None]
+                ok = (cls[mine] != cls[others]) & (of_top[others] | (rep[mine] < rep[others])) & _close(n[mine], n[others])
+                i, j = np.nonzero(ok)
+                for k in range(0, len(i), CELLS // sketch.shape[1]):
+                    x, y = mine[i[k : k + CELLS // sketch.shape[1]], 0], others[j[k : k + CELLS // sketch.shape[1]]]
+                    on = (sketch[x] == sketch[y]).sum(1, dtype=np.int32) >= AGREE
+                    found.append(np.sort(np.stack([rep[x[on]], rep[y[on]]]), 0))
+            if found:
+                u, v = np.concatenate(found, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def _linking(members: DataFrame, seed: int) -> DataFrame:
+    """Pairs of a linking round. members: key, rep, class, n, sketch; one member of each class of a bucket takes part."""
+    if seed:
+        pick = F.struct(F.xxhash64("rep", F.lit(seed)).alias("p"), "rep", "n", "sketch")
+        members = members.groupBy("key", "class").agg(F.min(pick).alias("m")).select("key", "m.rep", "m.n", "m.sketch")
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(sizes, "key").select("key", F.pmod(F.xxhash64("rep", F.lit(seed)), "blocks").alias("block"), "rep", "n", "sketch")
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_best, "u long, v long").distinct()
+
+
+def _forest(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(u, v): true links that connect the classes of each group as far as any of its pairs do.
+
+    Similar pairs are verified on the texts, the likeliest first, and passed over once their classes are connected.
+    """
+    for part, edge in _whole(batches, ["key", "block", "other"]):
+        rep, cls, n = (part.column(c).to_numpy() for c in ("rep", "class", "n"))
+        left, sketch, text = part.column("left").to_numpy(zero_copy_only=False), _sketches(part.column("sketch")), part.column("text")
+        out: list[tuple[int, int]] = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            above: dict[int, int] = {}
+
+            def root(x: int, above: dict[int, int] = above) -> int:
+                while (y := above.get(x, x)) != x:
+                    above[x] = above.get(y, y)
+                    x = y
+                return x
+
+            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            rows, others = a + np.flatnonzero(left[a:b]), a + np.flatnonzero(~left[a:b])
+            for x in rows:
+                agree = np.where((cls[x] != cls[others]) & _close(n[x], n[others]), (sketch[x] == sketch[others]).sum(1, dtype=np.int32), 0)
+                order = np.argsort(-agree, kind="stable")
+                for y in others[order[: int((agree >= AGREE).sum())]]:
+                    one, two = root(int(cls[x])), root(int(cls[y]))
+                    if one == two:
+                        continue
+                    for z in (x, y):
+                        if z not in sets:
+                            sets[z] = shingles(text[int(z)].as_py())
+                    if similarity(sets[x], sets[y]) >= least:
+                        above[one] = two
+                        out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(key, m, top, most, blocks, left_blocks) of the buckets of several classes: members, the largest class, its members, and the blocks of all members and of the others.
+
+    Blocks have about ``BLOCK`` members and ``BLOCK_WEIGHT`` words at most.
     """
-    rank = F.struct((-F.col("degree")).alias("d"), F.xxhash64("rep", "key", F.lit(seed)).alias("p"), "rep", "class")
-    stats = own.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.min(rank).alias("top")).where("lo <> hi")
-    stats = staged(stats.select("key", "n", F.col("top.rep").alias("hub"), F.col("top.class").alias("hub_class")), "mixed")
-    crowded = own.join(stats.where(F.col("n") > SMALL), "key").where("class <> hub_class").select(F.col("rep").alias("src"), F.col("hub").alias("dst"), F.lit(True).alias("pivot"))
-    few = own.join(stats.where(F.col("n") <= SMALL).select("key"), "key").select("key", "rep", "class")
-    left = few.select("key", F.col("rep").alias("src"), F.col("class").alias("one"))
-    right = few.select("key", F.col("rep").alias("dst"), F.col("class").alias("two"))
-    pairs = left.join(right, "key").where("src < dst and one <> two").select("src", "dst", F.lit(False).alias("pivot"))
-    return pairs.unionByName(crowded)
+    sizes = members.groupBy("key", "class").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    stats = sizes.groupBy("key").agg(F.sum("k").alias("m"), F.sum("w").alias("w"), F.max(F.struct("k", "class", "w")).alias("x"))
 
+    def blocks(count: Column, weight: Column) -> Column:
+        return F.ceil(F.greatest(count / BLOCK, weight / BLOCK_WEIGHT))
 
-def _mixed(own: DataFrame) -> DataFrame:
-    """(key, n, top, most) of the large buckets of several classes: members, the largest class and its members. own: key, rep, class."""
-    sizes = own.groupBy("key", "class").agg(F.count("*").alias("k"))
-    stats = sizes.groupBy("key").agg(F.sum("k").alias("n"), F.max(F.struct("k", "class")).alias("m"))
-    return staged(stats.select("key", "n", F.col("m.class").alias("top"), F.col("m.k").alias("most")).where((F.col("n") > SMALL) & (F.col("most") < F.col("n"))), "mixed")
+    found = stats.where("x.k < m").select("key", "m", F.col("x.class").alias("top"), F.col("x.k").alias("most"), blocks(F.col("m"), F.col("w")).alias("blocks"), blocks(F.col("m") - F.col("x.k"), F.col("w") - F.col("x.w")).alias("left_blocks"))
+    return found
 
 
-def _rest(own: DataFrame, mixed: DataFrame, keys: DataFrame) -> DataFrame:
-    """(u, v) of all pairs of different classes in large buckets, at the first band that they share.
+def _sides(members: DataFrame, mixed: DataFrame, *more: str) -> DataFrame:
+    """Members of mixed buckets dealt to pairs of blocks: those outside the largest class on the left, all on the right, sorted by pair of blocks."""
+    own = members.join(mixed, "key").withColumn("of_top", F.col("class") == F.col("top"))
+    deal, fields, zero = F.xxhash64("rep"), ("rep", "class", "n", "sketch", "of_top", *more), F.lit(0).cast("long")
+    left = own.where(~F.col("of_top")).select("key", F.pmod(deal, "left_blocks").alias("block"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other"), F.lit(True).alias("left"), *fields)
+    right = own.select("key", F.explode(F.sequence(zero, F.col("left_blocks") - 1)).alias("block"), F.pmod(deal, "blocks").alias("other"), F.lit(False).alias("left"), *fields)
+    return left.unionByName(right).repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
 
-    Of two classes one at least is not the bucket's largest, so only members of the others meet all members. Pairs
-    whose first shared bucket is a small one were compared in the rounds.
-    """
-    banded = own.join(mixed.select("key", "top"), "key").join(keys, "rep")
-    left = banded.where("class <> top").select("key", F.col("rep").alias("src"), F.col("class").alias("one"), F.col("bands").alias("sb"))
-    right = banded.select("key", F.col("rep").alias("dst"), F.col("class").alias("two"), F.col("bands").alias("db"), (F.col("class") == F.col("top")).alias("of_top"))
-    common = F.array_intersect("sb", "db")
-    once = (F.col("one") != F.col("two")) & (F.col("of_top") | (F.col("src") < F.col("dst"))) & (F.get(common, F.lit(0)) == F.col("own")) & (F.size(common) >= LEAST_SHARED)
-    pairs = left.withColumnRenamed("key", "own").join(right, (F.col("own") == F.col("key")) & once)
-    return pairs.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+
+def _crowd_links(members: DataFrame, keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(u, v) true links within the large mixed buckets ``keys``. Buckets with common members are one crowd, so that each pair of blocks is compared once."""
+    inside = members.join(keys, "key", "left_semi")
+    hubs = inside.groupBy("key").agg(F.min("rep").alias("hub"))
+    crowds = components(inside.join(hubs, "key").select(F.col("rep").alias("src"), F.col("hub").alias("dst")))
+    named = crowds.select(F.col("node").alias("rep"), F.col("component").alias("key"))
+    own = inside.select("rep", "class", "n", "sketch").dropDuplicates(["rep"]).join(named, "rep")
+    full = own.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    return _sides(full, _mixed(own), "text").mapInArrow(lambda batches: _forest(batches, least), "u long, v long").distinct()
 
 
 def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every document; class_id is the smallest doc_id of the class."""
-    sig = staged(signatures(documents), "signatures")
+    tables = Tables(documents.sparkSession)
+    sig = tables.write(signatures(documents), "signatures")
     # a text's copies become one row already on the map side
-    groups = staged(sig.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), "m.bands"), "texts")
-    members = groups.select(F.posexplode("bands").alias("band", "key"), "rep")
+    own = F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("m")
+    groups = tables.write(sig.groupBy("h1", "h2").agg(own).select("h1", "h2", F.col("m.doc_id").alias("rep"), "m.n", "m.bands", "m.sketch"), "groups")
+    keyed = groups.select(F.explode("bands").alias("key"), "rep")
     # only buckets of several texts matter from here on
-    shared = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
-    members = staged(members.join(shared, "key"), "buckets")
-    texts = staged(documents.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "compared")
-    keys = groups.select("rep", "bands")
-    links = tested = labels = None
-    turn, before, size = 0, None, members.count()
-    while True:
-        own = members if turn >= ROUNDS else members.where(F.col("band") % ROUNDS == turn)
-        if links is None:
-            own = own.select("key", "band", "rep", F.col("rep").alias("class"), F.lit(0).alias("degree"))
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
+    met = tables.write(keyed.join(shared, "key"), "buckets")
+    compared = tables.write(met.select(F.col("rep").alias("doc_id")).distinct(), "compared")
+    sketches = tables.write(only(groups.select(F.col("rep").alias("doc_id"), "n", "sketch"), compared), "sketches").withColumnRenamed("doc_id", "rep")
+    texts = tables.write(only(documents.select("doc_id", "text"), compared), "compared_texts")
+    if texts.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc_id"])
+    members = met.join(sketches, "rep")
+    few = EASY * met.count()
+    links = tested = labels = crowds = None
+    turn, before, last = 0, None, False
+    while not last:
+        if labels is None:
+            classed = members.withColumn("class", F.col("rep"))
         else:
-            known = labels.withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
-            degree = links.select(F.col("src").alias("rep")).union(links.select("dst")).groupBy("rep").agg(F.count("*").alias("d"))
-            own = own.join(known.join(degree, "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("class"), F.coalesce("d", F.lit(0)).alias("degree"))
-        last = False
-        if turn >= ROUNDS:
-            own = staged(own.withColumn("degree", F.lit(0)), "classed")  # pivots are random from here on
-            mixed = _mixed(own)
-            left = mixed.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
-            if not left:
-                break
-            last = left <= size or before is not None and 2 * left > before
-            before = left
-        if last:
-            pairs = _rest(own, mixed, keys)
-            pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+            known = labels.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+            classed = members.join(known, "rep", "left").withColumn("class", F.coalesce("label", "rep"))
+        if turn == 0:
+            pairs = _linking(classed, turn)
         else:
-            if turn >= ROUNDS:
-                own = own.where(F.col("band") % ROUNDS == turn % ROUNDS)
-            pairs = _candidates(own, turn).groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.min("pivot").alias("pivot"), F.max("src").alias("src"))
-            if tested is not None:
-                pairs = pairs.join(tested, ["u", "v"], "left_anti")
-            both = pairs.join(keys.select(F.col("rep").alias("u"), F.col("bands").alias("ub")), "u").join(keys.select(F.col("rep").alias("v"), F.col("bands").alias("vb")), "v")
-            shared = both.withColumn("shared", F.size(F.array_intersect("ub", "vb"))).where(F.col("shared") >= LEAST_SHARED)
-            # of its pivots, a member meets the most similar ones in this round; it meets others later if it stays alone
-            best = F.row_number().over(Window.partitionBy("src", "pivot").orderBy(F.desc("shared"), "u", "v"))
-            pairs = staged(shared.select("u", "v", "pivot", "src", "shared").withColumn("k", best).where(~F.col("pivot") | (F.col("k") <= PIVOTS)).select("u", "v"), "pairs")
+            mixed = tables.write(_mixed(classed), f"mixed{turn}")
+            work = mixed.agg(F.sum((F.col("m") - F.col("most")) * F.col("m"))).first()[0]
+            if not work:
+                break
+            last = work <= few or before is not None and 2 * work > before
+            before = work
+            if last:
+                large = (F.col("m") - F.col("most")) * F.col("m") > CROWD
+                pairs = _sides(classed, mixed.where(~large)).mapInArrow(_across, "u long, v long").distinct()
+                crowds = mixed.where(large).select("key")
+            else:
+                pairs = _linking(classed.join(mixed.select("key"), "key", "left_semi"), turn)
+            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+        pairs = tables.write(pairs, f"pairs{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = staged(verified(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")), texts, least), "links")
+        new = verified(pairs, texts, least)
+        if crowds is not None and crowds.limit(1).count():
+            new = new.unionByName(_crowd_links(classed, crowds, texts, least))
+        new = tables.write(new, f"links{turn}")
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
-            labels = components(links)
-        if last:
-            break
+            labels = components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
         turn += 1
+    tables.drop("buckets", "compared", "sketches", "compared_texts", *(f"{name}{k}" for k in range(turn + 1) for name in ("mixed", "pairs", "links")))
     named = groups.select("h1", "h2", "rep")
     if labels is None:
         named = named.withColumn("class_id", F.col("rep"))
@@ -283,7 +423,7 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with all its columns; one row of repeated ones."""
-    kept = staged(classes(documents).where("doc_id = class_id"), "kept")
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = documents.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(documents.columns)
+    found = Tables(documents.sparkSession).write(classes(documents), "classes")
+    out = only(documents, found.where("doc_id <> class_id").select("doc_id"), keep=False)
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if repeated else out

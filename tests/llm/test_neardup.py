@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from ledgerloom.llm import neardup
+from ledgerloom.llm import common, neardup
 
 from .helpers import clashing, documents, words
 
@@ -68,6 +68,48 @@ def test_family_around_the_threshold_matches_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def crowd(pairs=200, size=280):
+    """Texts of a base with edits of their own, so that any two are just under the threshold, but for partners, which share one of them."""
+    rng = random.Random(3)
+    base, texts = words(4321, size), []
+    spots = list(range(2, size - 2, 5))
+    for k in range(2 * pairs):
+        own = list(base)
+        mine = random.Random(k // 2)  # partners draw the same spots
+        for j, at in enumerate(mine.sample(spots, 7)):
+            own[at] = f"w{k // 2 if j < 1 else k}x{j}"
+        texts.append(" ".join(own))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    return [texts[i] for i in order]
+
+
+@pytest.mark.parametrize(("block", "crowd_pairs", "easy"), [(512, 1 << 12, 64), (16, 8, 0), (16, 1 << 30, 0)])
+def test_no_link_is_lost_in_a_crowd_around_the_threshold(spark, monkeypatch, block, crowd_pairs, easy):
+    for name, value in (("BLOCK", block), ("CROWD", crowd_pairs), ("EASY", easy)):
+        monkeypatch.setattr(neardup, name, value)
+    texts = crowd(60)
+    want = brute(texts)
+    assert len(set(want)) < len(texts)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_long_texts_and_ties(spark):
+    long = words(5, 30_000)
+    texts = [" ".join(long), " ".join([*long[:-3], "x", "y", "z"]), "a b c d e " * 5000, "a b c d e " * 5000, "a b c d e " * 4999]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 0, 2, 2, 2]
+
+
+def test_shortlist_is_joined_either_way(spark, monkeypatch):
+    texts = corpus()
+    want = sorted(r["doc_id"] for r in neardup.deduplicated(documents(spark, texts)).collect())
+    assert want == sorted(set(brute(texts)))
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(documents(spark, texts)).collect()) == want
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = documents(spark, ["a b c d e f", "x"])
     assert not neardup.classes(df.where("false")).collect()
