@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's documents. All but the last return the columns of the documents.
+
+Edge cases, in every stage: empty tables stay empty; further columns stay as they are, whatever their names; repeated rows are
+treated alike, but near-duplicate detection keeps one of them. A null text, or one without a letter, goes with the first
+stage. Each document is whole, whatever its length.
 """
 
 from __future__ import annotations
