@@ -55,8 +55,10 @@ CROWD = 1 << 12
 #: The exact step follows at once if it compares at most so many pairs for each member of a bucket.
 EASY = 64
 #: Bytes that one comparison of sketches may take.
-CELLS = 1 << 25
-CHUNK_CHARS = 1_000_000
+CELLS = 1 << 22
+#: Words whose hashes a Python worker keeps.
+WORDS = 100_000
+CHUNK_CHARS = 500_000
 CHUNK_DOCS = 1000
 
 _WORD = re.compile(r"\w+")
@@ -67,7 +69,7 @@ class _WordHashes(dict):
     """Hash of every word seen; forgotten from time to time, so that memory stays bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
