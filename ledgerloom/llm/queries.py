@@ -82,6 +82,10 @@ FROM low LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+#: Levels that the SQL generalises; no url of the tables has more segments.
+_OP4_DEPTH = 6
+
+
 def _op4() -> str:
     """The template tree in SQL, one level of it after the other."""
     rules = sorted(urltree.RULES, key=lambda r: -len(r[0] + r[1]))
@@ -90,7 +94,7 @@ def _op4() -> str:
     said = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in cases) + " END"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     levels = ""
-    for d in range(2, urltree.DEPTH + 1):
+    for d in range(2, _OP4_DEPTH + 1):
         levels += f"""
 , w{d} AS (
   SELECT host, node FROM (
@@ -113,7 +117,7 @@ WITH cut AS (
 ){levels}
 , shaped AS (
   SELECT host, template, array_to_string(now, '/') AS branch, labelled, blocked,
-    array_to_string(list_transform(now, lambda s: CASE WHEN s IN ('*', '') THEN s ELSE '+' END), '/') AS shape FROM t{urltree.DEPTH}
+    array_to_string(list_transform(now, lambda s: CASE WHEN s IN ('*', '') THEN s ELSE '+' END), '/') AS shape FROM t{_OP4_DEPTH}
 ), branches AS (
   SELECT host, shape, branch, sum(labelled) AS bn, sum(blocked) AS bx FROM shaped GROUP BY ALL
 ), shapes AS (
@@ -121,16 +125,16 @@ WITH cut AS (
 ), units AS (
   SELECT host, shape, branch, bn, bx, CASE WHEN bn > 0 AND abs(bx / bn - sx / sn) <= {urltree.Z} * sqrt(sx / sn * (1 - sx / sn) / bn) THEN shape ELSE branch END AS unit
   FROM branches JOIN shapes USING (host, shape)
-), everywhere AS (
-  SELECT shape, sum(sn) AS en, sum(sx) AS ex FROM shapes GROUP BY ALL
-), total AS (
-  SELECT (coalesce(sum(ex), 0) + 1.0) / (coalesce(sum(en), 0) + 2.0) AS share FROM everywhere
+), namesakes AS (
+  SELECT branch, sum(bn) AS tn, sum(bx) AS tx FROM branches GROUP BY branch
+), merged AS (
+  SELECT host, shape, unit, sum(bn) AS un, sum(bx) AS ux FROM units GROUP BY ALL
 ), judged AS (
-  SELECT host, shape, unit, sum(bn) AS marked, (sum(bx) + {urltree.WEIGHT} * ((any_value(ex) + 2.0 * any_value(share)) / (any_value(en) + 2.0))) / (sum(bn) + {urltree.WEIGHT}) AS purity
-  FROM units JOIN everywhere USING (shape), total GROUP BY host, shape, unit
+  SELECT host, shape, branch, unit, (ux + {urltree.WEIGHT} * ((sx + {urltree.WEIGHT} * (tx / (tn + 2.0))) / (sn + {urltree.WEIGHT}))) / (un + {urltree.WEIGHT}) AS purity
+  FROM units JOIN shapes USING (host, shape) JOIN merged USING (host, shape, unit) JOIN namesakes USING (branch)
 )
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN marked > 0 AND purity >= {urltree.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, unit AS template, round(CAST(purity AS DOUBLE), 6) AS purity
-FROM page JOIN shaped USING (host, template) JOIN units USING (host, shape, branch) JOIN judged USING (host, shape, unit)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {urltree.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, unit AS template, round(CAST(purity AS DOUBLE), 6) AS purity
+FROM page JOIN shaped USING (host, template) JOIN judged USING (host, shape, branch)
 """
 
 

@@ -7,15 +7,17 @@ Fixed rules come first. For the rest, each host's paths form a tree of templates
 2. Level by level, a node with at least ``MANY`` different literal children that have fewer than two pages each on
    average gets one wildcard child instead.
 3. Templates of a host that differ in literals only have one shape (literals as ``+``). A branch whose share
-   of blocked labels lies within ``Z`` standard errors of its shape's is merged into the shape; one without labels is not.
-4. A merged template's purity is its share of blocked labels, smoothed towards the shape's share on all hosts, which
-   is smoothed towards the share of all labels. Pages of labelled templates of at least ``REJECT`` are blocked.
+   of blocked labels lies within ``Z`` standard errors of its shape's is merged into the shape.
+4. A template's purity is its unit's share of blocked labels, smoothed towards its shape's share on the host, which is
+   smoothed towards the same template's share on all hosts, and that towards none blocked. A branch without labels thus
+   backs off to its siblings and, on hosts without labels, to its namesakes elsewhere; without any evidence it is allowed.
+   Templates of at least ``REJECT`` are blocked.
 
 Labels are the rules' own verdicts unless a table of labels is given.
 
 Edge cases: a null url, or one without ``://``, has empty host and path and the empty template; without any label
 everything is allowed; equal urls get equal verdicts; an empty table gives no
-rows. Only ``page_id`` and ``url`` are read.
+rows; urls of any length and depth are whole. Only ``page_id`` and ``url`` are read.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from .common import staged
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 LONG = 24
 MANY = 20
-DEPTH = 6
 Z = 1.96
 WEIGHT = 5.0
-REJECT = 0.5
+#: On hosts whose labels were held out, this gave no wrong rejection and the best accuracy; see the README.
+REJECT = 0.7
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,10 +60,16 @@ def _template() -> Column:
     return F.array_join(F.transform(F.split("path", "/"), lambda s: F.when(s.rlike("[0-9]") | (F.length(s) >= LONG), "*").otherwise(s)), "/")
 
 
+def _levels(own: DataFrame) -> list[int]:
+    """Levels of the tree, from 2, at which a node can have ``MANY`` different literal children."""
+    segments = own.select(F.posexplode("now").alias("at", "seg")).where("at > 0 and seg <> '*'").distinct()
+    return sorted(r["at"] + 1 for r in segments.groupBy("at").count().where(F.col("count") >= MANY).collect())
+
+
 def tree(counts: DataFrame) -> DataFrame:
-    """(host, template, unit, labelled, purity) of templates given as (host, template, n, labelled, blocked)."""
+    """(host, template, unit, purity) of templates given as (host, template, n, labelled, blocked)."""
     own = staged(counts.withColumn("now", F.split("template", "/")), "templates")
-    for d in range(2, DEPTH + 1):  # the first segment is what stands before the first slash
+    for d in _levels(own):  # the first segment is what stands before the first slash
         deep = own.withColumn("node", F.array_join(F.slice("now", 1, d - 1), "/")).withColumn("seg", F.when(F.size("now") >= d, F.get("now", F.lit(d - 1))))
         nodes = deep.where("seg <> '*'").groupBy("host", "node", "seg").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
         wide = staged(nodes.where((F.col("k") >= MANY) & (F.col("k") * 2 > F.col("n"))).select("host", "node", F.lit(True).alias("wide")), "wide")
@@ -72,22 +80,22 @@ def tree(counts: DataFrame) -> DataFrame:
     shape = F.array_join(F.transform("now", lambda s: F.when((s == "*") | (s == ""), s).otherwise("+")), "/")
     own = own.select("host", "template", F.array_join("now", "/").alias("branch"), shape.alias("shape"), "labelled", "blocked")
 
-    def sums(x: str, y: str) -> list[Column]:
-        return [F.sum("labelled").alias(x), F.sum("blocked").alias(y)]
+    def sums(n: str, x: str, to: str) -> list[Column]:
+        return [F.sum(n).alias(f"{to}n"), F.sum(x).alias(f"{to}x")]
 
-    branches = own.groupBy("host", "shape", "branch").agg(*sums("bn", "bx"))
-    shapes = branches.groupBy("host", "shape").agg(F.sum("bn").alias("sn"), F.sum("bx").alias("sx"))
+    branches = own.groupBy("host", "shape", "branch").agg(*sums("labelled", "blocked", "b"))
+    shapes = branches.groupBy("host", "shape").agg(*sums("bn", "bx", "s"))
+    namesakes = branches.groupBy("branch").agg(*sums("bn", "bx", "t"))
     share, pooled = F.try_divide("bx", "bn"), F.try_divide("sx", "sn")
     near = F.coalesce(F.abs(share - pooled) <= Z * F.sqrt(pooled * (1 - pooled) / F.col("bn")), F.lit(False))
     units = branches.join(shapes, ["host", "shape"]).withColumn("unit", F.when(near, F.col("shape")).otherwise(F.col("branch")))
-    merged = units.groupBy("host", "shape", "unit").agg(F.sum("bn").alias("un"), F.sum("bx").alias("ux"))
-    everywhere = shapes.groupBy("shape").agg(F.sum("sn").alias("en"), F.sum("sx").alias("ex"))
-    total = everywhere.agg(((F.coalesce(F.sum("ex"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("en"), F.lit(0)) + 2.0)).alias("share"))  # one row
-    parent = (F.col("ex") + 2.0 * F.col("share")) / (F.col("en") + 2.0)
-    purity = (F.col("ux") + WEIGHT * parent) / (F.col("un") + WEIGHT)
-    judged = merged.join(everywhere, "shape").join(F.broadcast(total), F.lit(True)).select("host", "shape", "unit", F.col("un").alias("labelled"), purity.alias("purity"))
-    named = own.select("host", "template", "shape", "branch").join(units.select("host", "shape", "branch", "unit"), ["host", "shape", "branch"])
-    return named.join(judged, ["host", "shape", "unit"]).select("host", "template", "unit", "labelled", "purity")
+    merged = units.groupBy("host", "shape", "unit").agg(*sums("bn", "bx", "u"))
+    everywhere = F.col("tx") / (F.col("tn") + 2.0)
+    siblings = (F.col("sx") + WEIGHT * everywhere) / (F.col("sn") + WEIGHT)
+    purity = (F.col("ux") + WEIGHT * siblings) / (F.col("un") + WEIGHT)
+    judged = units.join(merged, ["host", "shape", "unit"]).join(namesakes, "branch").select("host", "shape", "branch", "unit", purity.alias("purity"))
+    named = own.select("host", "template", "shape", "branch").join(judged, ["host", "shape", "branch"])
+    return named.select("host", "template", "unit", "purity")
 
 
 def verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -106,5 +114,5 @@ def verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES,
         seen = own.join(given, "page_id", "left").select("host", "template", "bad")
     counts = seen.groupBy("host", "template").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.count_if("bad").alias("blocked"))
     out = own.join(tree(counts), ["host", "template"])
-    verdict = F.coalesce("said", F.when((F.col("labelled") > 0) & (F.col("purity") >= REJECT), "block").otherwise("allow"))
+    verdict = F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("unit").alias("template"), F.round("purity", 6).alias("purity"))

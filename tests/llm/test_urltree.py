@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import pytest
+
 from ledgerloom.llm import urltree
 
-from .helpers import rows
+from .helpers import SMALL, rows
 
 
 def pages(spark, urls):
@@ -34,3 +36,36 @@ def test_generalises_and_rejects_by_labels(spark):
 def test_no_labels_and_empty(spark):
     assert {r["verdict"] for r in urltree.verdicts(pages(spark, ["http://s.org/a", "http://s.org/a"]), ()).collect()} == {"allow"}
     assert not rows(urltree.verdicts(pages(spark, ["http://s.org/a"]).where("false")))
+
+
+def test_unlabelled_branches_back_off_to_siblings_and_namesakes(spark):
+    urls = [f"http://a.net/es/{i}" for i in range(40)] + [f"http://a.net/it/{i}" for i in range(40)] + [f"http://b.org/es/{i}" for i in range(9)] + [f"http://b.org/xy/{i}" for i in range(9)] + ["http://c.com/it/1"] * 3
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urltree.verdicts(pages(spark, urls)).collect()}
+    assert {got[i] for i in range(40)} == {("net/es/", "block")}
+    assert {got[i] for i in range(40, 80)} == {(None, "block")}  # all its labelled siblings are bad
+    assert {got[i] for i in range(80, 89)} == {(None, "block")}  # its namesakes on other hosts are bad
+    assert {got[i] for i in range(89, 98)} == {(None, "allow")}  # nothing is known
+    assert {got[i] for i in range(98, 101)} == {("com/", "allow")}
+
+
+def test_repeated_rows_long_urls_and_deep_paths(spark):
+    deep = "http://h.org/" + "/".join(f"s{'abcdefghijklmnopqrstuvwxyz'[i % 26]}" for i in range(300))
+    wide = [f"http://h.org/a/b/c/d/e/f/g/{chr(97 + i % 26)}{chr(97 + i // 26)}/z" for i in range(40)]
+    df = pages(spark, [deep, "http://h.org/" + "q" * 100_000, *wide])
+    got = urltree.verdicts(df.union(df.where("page_id < 2"))).collect()
+    assert len(got) == 4 + len(wide) and {r["verdict"] for r in got} == {"allow"}
+    assert {r["template"] for r in got if r["page_id"] > 1} == {"/a/b/c/d/e/f/g/*/z"}  # also beyond the sixth segment
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
+def test_held_out_hosts(spark):
+    """Labels of a fifth of the hosts are hidden; the tree judges those pages by the others' labels."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(str(SMALL.parent / "sf0.1" / "pages.parquet"))
+    told = urltree.verdicts(df).where("rule is not null").select("page_id", "host", (F.col("verdict") == "block").alias("blocked")).withColumn("hidden", F.crc32("host") % 5 == 0)
+    got = urltree.verdicts(df, (), told.where("not hidden")).select("page_id", "verdict").join(told.where("hidden"), "page_id")
+    right, n, wrong = got.select(F.avg((F.expr("verdict = 'block'") == F.col("blocked")).cast("int")), F.count("*"), F.count_if(F.expr("verdict = 'block' and not blocked"))).first()
+    most = told.where("hidden").agg(F.avg(F.col("blocked").cast("int"))).first()[0]
+    print(f"{n} pages of held-out hosts: accuracy {right:.3f}, blocked by mistake {wrong}, always the commoner verdict {max(most, 1 - most):.3f}")
+    assert n > 100 and right > max(most, 1 - most) + 0.1 and right > 0.8
