@@ -1,11 +1,12 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame operations only.
 
-Lines are trimmed; blank ones do not count. Equal lines are one class by a 128-bit hash. Lines of at least
-``MIN_NEAR`` code points are also linked when at most ``EDITS`` insertions, deletions or substitutions apart:
+Lines are trimmed; blank ones do not count. Equal lines are one class by a 128-bit hash. Different lines are linked when
+few enough insertions, deletions or substitutions apart. How many are few follows the shorter line's code points: none
+below ``SHORT``, where one edit makes another word, one below ``LONG``, and ``EDITS`` from there on.
 
-1. A line of length n is cut into ``EDITS + 1`` segments, so a line within ``EDITS`` edits keeps one of them whole.
+1. A line that may have e edits is cut into e + 1 segments, so a line within e edits keeps one of them whole.
    Each segment is an index key (length, segment number, hash).
-2. A line probes the lengths from its own down to ``EDITS`` less, and for each only the substrings at which the first
+2. A line probes the lengths from its own down to e less, and for each only the substrings at which the first
    kept segment can stand, given the edits left for the parts before and after it.
 3. An index key of one or two lines gives its candidates directly, one row for a probe. Keys of more lines are
    joined with their texts, and pairs are dropped inside the join by a letter sketch and the edit distance, so
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import components, staged
 
 EDITS = 2
-MIN_NEAR = 24
+SHORT = 8
+LONG = 24
 #: A document keeps its repeats of other documents if they are more than this share of its characters: it is a copy, not a text with boilerplate.
 MAX_SHARE = 0.5
 #: Documents whose needed lines are broadcast in one block (about 100 bytes each), and the most such blocks; beyond that the texts are shuffled.
@@ -62,25 +64,31 @@ def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     return (i - 1) * short + extra + 1, size
 
 
+def tiers(edits: int) -> list[tuple[int, int, int]]:
+    """(edits, first length, length after the last) of the lengths that may have any."""
+    return [(edits, SHORT, 1 << 31)] if edits == 1 else [(1, SHORT, LONG), (edits, LONG, 1 << 31)]
+
+
 def _keys(edits: int) -> tuple[list[Column], list[Column]]:
     """Index keys, and the further probe keys, of the columns ``line`` and ``n``."""
     index, probe = [], []
-    for less in range(edits + 1):
-        n = F.col("n") - less
-        for i in range(1, edits + 2):
-            start, size = _segment(n, i, edits)
-            low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                # an index length below MIN_NEAR has no near lines; neither has a substring that reaches outside
-                fits = (n >= MIN_NEAR) & (at >= 1) & (at + size - 1 <= F.col("n"))
-                key = F.when(fits, F.xxhash64(n, F.lit(i), F.substring(F.col("line"), at, size)))
-                (index if less == 0 and shift == 0 else probe).append(key)
+    for few, least, end in tiers(edits):
+        for less in range(few + 1):
+            n = F.col("n") - less
+            for i in range(1, few + 2):
+                start, size = _segment(n, i, few)
+                low, high = max(-(i - 1), less - (few + 1 - i)), min(i - 1, less + (few + 1 - i))
+                for shift in range(low, high + 1):
+                    at = start + shift
+                    # an index length of another tier has other segments; a substring that reaches outside is none
+                    fits = (n >= least) & (n < end) & (at >= 1) & (at + size - 1 <= F.col("n"))
+                    key = F.when(fits, F.xxhash64(n, F.lit(i), F.substring(F.col("line"), at, size)))
+                    (index if less == 0 and shift == 0 else probe).append(key)
     return index, probe
 
 
-def within(a: str, b: str, edits: int) -> Column:
-    """Whether the lines in columns ``a`` and ``b`` are at most ``edits`` apart.
+def within(a: str, b: str, edits: int, tiered: bool = False) -> Column:
+    """Whether the lines in columns ``a`` and ``b`` are at most ``edits`` apart; with ``tiered``, at most what their length allows.
 
     A banded bit-parallel edit distance: one step for each code point of the shorter line. Its state are two bit sets
     over the 2 * edits + 1 cells around the diagonal, those one above and those one below the cell over them. The distance
@@ -98,8 +106,9 @@ def within(a: str, b: str, edits: int) -> Column:
     start = f"named_struct('j', 0, 'n', x.d, 'up', {band & ~((1 << edits) - 1)}L, 'down', 0L)"
     longer, shorter = (f"split(if((length({a}) < length({b})) = {swap}, {b}, {a}), '')" for swap in ("true", "false"))
     # the slice, as splitting the empty line gives an empty string
+    most = f"case when size(x.shorter) >= {LONG} then {edits} when size(x.shorter) >= {SHORT} then 1 else 0 end" if tiered else edits
     x = f"named_struct('longer', {longer}, 'shorter', slice({shorter}, 1, least(length({a}), length({b}))), 'd', abs(length({a}) - length({b})))"
-    return F.expr(f"get(transform(array({x}), x -> aggregate(x.shorter, {start}, (s, c) -> if(s.n > {edits}, s, {step})).n <= {edits}), 0)")
+    return F.expr(f"get(transform(array({x}), x -> aggregate(x.shorter, {start}, (s, c) -> if(s.n > {edits}, s, {step})).n <= {most}), 0)")
 
 
 def _texts(documents: DataFrame, firsts: DataFrame, needed: DataFrame) -> DataFrame:
@@ -143,32 +152,43 @@ def near_links(documents: DataFrame, firsts: DataFrame, edits: int) -> DataFrame
     needed = few.select(F.col("src").alias("h")).union(few.select("dst")).union(asking.select("h")).union(inside.select("h"))
     texts = staged(_texts(documents, firsts, staged(needed.distinct(), "needed")), "line_texts")
     a, b = (texts.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line")) for x in ("src", "dst"))
-    linked = few.join(a, "src").join(b, "dst").where(within("src_line", "dst_line", edits)).select("src", "dst")
+    linked = few.join(a, "src").join(b, "dst").where(within("src_line", "dst_line", edits, True)).select("src", "dst")
     # each edit changes at most two letter counts, so at most two bits of their parities
     bit = "aggregate(split(line, ''), 0L, (s, c) -> s ^ shiftleft(1L, cast(pmod(hash(c), 64) as int)))"
     sketched = texts.select("h", "line", F.expr(bit).alias("bits"))
     inside = inside.join(sketched, "h").select("key", F.col("h").alias("dst"), F.col("line").alias("dst_line"), F.col("bits").alias("dst_bits"))
     asking = asking.join(sketched, "h").select(F.col("key").alias("own"), F.col("h").alias("src"), F.col("line").alias("src_line"), F.col("bits").alias("src_bits"))
     close = F.bit_count(F.col("src_bits").bitwiseXOR(F.col("dst_bits"))) <= 2 * edits
-    crowded = asking.join(inside, (F.col("own") == F.col("key")) & (F.col("src") != F.col("dst")) & close & within("src_line", "dst_line", edits))
-    return linked.union(crowded.select("src", "dst")).distinct()
+    crowded = asking.join(inside, (F.col("own") == F.col("key")) & (F.col("src") != F.col("dst")) & close & within("src_line", "dst_line", edits, True))
+    return linked.union(crowded.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))).distinct()
 
 
-def repeats(documents: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(doc_id, line_no, n_chars, first_doc, first_line, class_size) of every line that repeats an earlier one of its class."""
+def classes(documents: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(doc_id, line_no, n_chars, first_doc, first_line, class_size, n_links) of every line of a class of several lines.
+
+    The first line names the class. n_links: how many different lines are linked to the line's text. A line that
+    has no row is a class of its own, without links.
+    """
     index, probe = _keys(edits)
     every = lines(documents).withColumn("n", F.length("line"))
     place = F.struct("doc_id", "line_no", F.array(*index).alias("index"), F.array(*probe).alias("probe"))
     firsts = every.select(*_hashes(), place.alias("at")).groupBy("h", "g").agg(F.min("at").alias("at"), F.count("*").alias("n"))
     firsts = staged(firsts.select("h", "g", "n", "at.*"), "firsts")
-    labels = components(staged(near_links(documents, firsts, edits), "line_links"))
-    named = firsts.select("h", "g", "n", F.struct("doc_id", "line_no").alias("at")).join(labels.withColumnRenamed("node", "h"), "h", "left")
-    named = named.select("h", "g", "n", "at", F.coalesce("component", "h").alias("c"), F.when(F.col("component").isNull(), F.col("g")).otherwise(F.lit(0)).alias("d"))
+    links = staged(near_links(documents, firsts, edits), "line_links")
+    degree = links.select(F.col("src").alias("h")).union(links.select("dst")).groupBy("h").agg(F.count("*").alias("n_links"))
+    labels = components(links).withColumnRenamed("node", "h").join(degree, "h")
+    named = firsts.select("h", "g", "n", F.struct("doc_id", "line_no").alias("at")).join(labels, "h", "left")
+    named = named.select("h", "g", "n", "at", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "h").alias("c"), F.when(F.col("component").isNull(), F.col("g")).otherwise(F.lit(0)).alias("d"))
     grouped = named.groupBy("c", "d").agg(F.min("at").alias("first"), F.sum("n").alias("class_size")).where("class_size > 1")
-    found = named.select("h", "g", "c", "d").join(grouped, ["c", "d"]).select("h", "g", "first", "class_size")
+    found = named.select("h", "g", "c", "d", "n_links").join(grouped, ["c", "d"]).select("h", "g", "first", "class_size", "n_links")
     own = every.select("doc_id", "line_no", F.col("n").alias("n_chars"), *_hashes())
-    out = own.join(found, ["h", "g"]).where("struct(doc_id, line_no) <> first")
-    return out.select("doc_id", "line_no", "n_chars", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "class_size")
+    out = own.join(found, ["h", "g"])
+    return out.select("doc_id", "line_no", "n_chars", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "class_size", "n_links")
+
+
+def repeats(documents: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The rows of ``classes`` of every line that repeats an earlier one of its class."""
+    return classes(documents, edits).where("struct(doc_id, line_no) <> struct(first_doc, first_line)")
 
 
 def by_document(documents: DataFrame, edits: int = EDITS) -> DataFrame:

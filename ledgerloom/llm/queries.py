@@ -32,7 +32,7 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeats(table(spark, sf_dir, "documents"))
+    return linededup.classes(table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

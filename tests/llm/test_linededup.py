@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,11 +21,16 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(texts, edits):
+def allowed(n, edits):
+    return 0 if n < linededup.SHORT else min(1, edits) if n < linededup.LONG else edits
+
+
+def brute(texts, edits, links=False):
     own = [(i, k, re.sub(r"^\s+|\s+$", "", line)) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n"))]
     own = [x for x in own if x[2]]
     distinct = list(dict.fromkeys(x[2] for x in own))
     up = {x: x for x in distinct}
+    degree = dict.fromkeys(distinct, 0)
 
     def find(x):
         while up[x] != x:
@@ -33,11 +39,17 @@ def brute(texts, edits):
 
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if min(len(a), len(b)) >= linededup.MIN_NEAR and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            most = allowed(min(len(a), len(b)), edits)
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
                 up[find(a)] = find(b)
+                degree[a] += 1
+                degree[b] += 1
     first: dict[str, tuple[int, int]] = {}
     for i, k, line in own:
         first[find(line)] = min(first.get(find(line), (i, k)), (i, k))
+    if links:
+        sizes = Counter(find(line) for _, _, line in own)
+        return {(i, k, *first[find(line)], sizes[find(line)], degree[line]) for i, k, line in own if sizes[find(line)] > 1}
     return {(i, k, *first[find(line)]) for i, k, line in own if first[find(line)] != (i, k)}
 
 
@@ -61,6 +73,10 @@ def corpus():
     texts: list[str | None] = [None, "", "\n \n\t\n", "short\nshort\nshorx", bases[0] + "\r\n" + bases[0] + "\n"]
     for i in range(60):
         texts.append("\n".join(edited(rng.choice(bases), rng.choice([0, 0, 1, 1, 2, 3, 4])) for _ in range(4)) + "\n" + " ".join(words(5000 + i, 6)))
+    # lines around the lengths at which other numbers of edits are allowed, and near ones of them
+    for n in (*range(6, 11), *range(22, 28)):
+        line = "".join(words(900 + n, 9))[:n]
+        texts += [line, line[:-1], line[: n // 2] + "#" + line[n // 2 + 1 :], "?" + line + "!"]
     # a crowded key: one long common part, ends that differ by one word
     texts += ["the very same beginning of a line that goes on, then " + w for w in words(42, 30)]
     return texts
@@ -73,6 +89,12 @@ def test_matches_brute_force(spark, edits):
     assert got == brute(texts, edits)
 
 
+def test_classes_and_links_match_brute_force(spark):
+    texts = corpus()
+    got = {tuple(r) for r in linededup.classes(documents(spark, texts)).drop("n_chars").collect()}
+    assert got == brute(texts, linededup.EDITS, links=True)
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_bit_parallel_distance(spark, edits):
     rng, pairs = random.Random(edits), [("", ""), ("", "a"), ("abc", ""), ("same", "same")]
