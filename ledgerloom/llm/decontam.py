@@ -5,13 +5,15 @@ non-ASCII characters. Every window of ten consecutive item words (an item of few
 pattern of the automaton; its alphabet is the benchmark's vocabulary, any other word resets the scan. A
 document is scanned once from end to end; hits are mapped back to code points of the original text.
 
-Edge cases: null and empty texts have no words and no hits; items without words give no pattern; repeated
+Edge cases: null and empty texts have no words and no hits; rows of one doc_id with different texts each get their own result; items without words give no pattern; repeated
 items and item ids count once; an empty benchmark leaves every document clean. Only ``doc_id`` and ``text`` (of
 documents), ``item_id`` and ``text`` (of the benchmark) are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -22,11 +24,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow
+from .common import Tables, arrow
 
 WINDOW = 10
-#: Items are sent to the executors in blocks of at most so many characters, one scan of the documents for each block.
-BLOCK_CHARS = 64_000_000
+#: Items are sent to the executors in blocks of about so many characters, one scan of the documents for each block. An automaton
+#: takes about 110 MB for each million characters in every Python worker.
+BLOCK_CHARS = 1_000_000
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -113,15 +116,17 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[objec
         yield [tuple(r) for r in part.collect()]
 
 
-def scan(documents: DataFrame, items: list[tuple[object, str | None]], window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, ranges, items, spans) of every document against items that fit one block."""
+def scan(documents: DataFrame, items: list[tuple[object, str | None]], window: int = WINDOW, named: bool = False) -> DataFrame:
+    """(doc_id, n_words, ranges, items, spans) of every document against items that fit one block; if ``named``, also a 128-bit hash of the text."""
     spark = documents.sparkSession
     sent, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
+    fields, schema = (_FIELDS | {"name": pa.binary()}, f"{_SCHEMA}, name binary") if named else (_FIELDS, _SCHEMA)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, sent, window)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in _FIELDS}
+            out: dict[str, list] = {k: [] for k in fields}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n, ranges, found = matcher.scan(text)
                 out["doc_id"].append(doc_id)
@@ -129,9 +134,11 @@ def scan(documents: DataFrame, items: list[tuple[object, str | None]], window: i
                 out["ranges"].append([{"start": a, "end": b} for a, b in ranges])
                 out["items"].append(sorted(found))
                 out["spans"].append(matcher.offsets(text, ranges) if ranges else [])
-            yield arrow(_FIELDS, out)
+                if named:
+                    out["name"].append(hashlib.md5((text or "").encode(), usedforsecurity=False).digest())
+            yield arrow(fields, out)
 
-    return documents.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _merged(spans: str) -> F.Column:
@@ -144,30 +151,41 @@ def _merged(spans: str) -> F.Column:
     )
 
 
+def _scans(documents: DataFrame, benchmark: DataFrame, window: int, block_chars: int) -> DataFrame:
+    """(doc_id, n_words, ranges, items, spans) of every document against the whole benchmark.
+
+    Of several blocks one is held at a time. Each block's scan writes what it finds, named by the text's hash, as what is
+    found depends on the text alone; the last join is on narrow rows.
+    """
+    blocks = _blocks(benchmark, block_chars)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return scan(documents, first, window)
+    tables = Tables(documents.sparkSession)
+    own = documents.select("doc_id", "text")
+    every = tables.write(scan(own, [], window, named=True).select("doc_id", "name", "n_words"), "words")
+    found = None
+    for k, items in enumerate(itertools.chain([first, second], blocks)):
+        hits = scan(own, items, window, named=True).where("size(ranges) > 0").dropDuplicates(["name"])
+        part = tables.write(hits.select("name", "ranges", "items", "spans"), f"hits{k}")
+        found = part if found is None else found.unionByName(part)
+    united = found.groupBy("name").agg(
+        F.array_sort(F.flatten(F.collect_list("ranges"))).alias("r"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
+    )
+    united = united.select("name", _merged("r").alias("ranges"), "items", _merged("s").alias("spans"))
+    none = {c: F.coalesce(c, F.array().cast(united.schema[c].dataType)).alias(c) for c in ("ranges", "items", "spans")}
+    return every.join(united, "name", "left").select("doc_id", "n_words", *none.values())
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
 
-    A benchmark of up to ``block_chars`` characters is one automaton on each executor. A larger one is dealt into
-    blocks by a hash of the item; every block is one scan, and the ranges of all scans are united per document.
+    A benchmark of up to ``block_chars`` characters is one automaton in each worker. A larger one is dealt into
+    blocks by a hash of the item; every block is one scan, and the ranges of all scans are united per text.
     """
-    scans = [scan(documents, items, window) for items in _blocks(benchmark, block_chars)]
-    if len(scans) == 1:
-        out = scans[0]
-    else:
-        every = scans[0]
-        for x in scans[1:]:
-            every = every.unionByName(x)
-        out = (
-            every.groupBy("doc_id")
-            .agg(
-                F.first("n_words").alias("n_words"),
-                F.array_sort(F.flatten(F.collect_list("ranges"))).alias("r"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
-            )
-            .select("doc_id", "n_words", _merged("r").alias("ranges"), "items", _merged("s").alias("spans"))
-        )
-    return out.select(
+    return _scans(documents, benchmark, window, block_chars).select(
         "doc_id",
         "n_words",
         F.expr("aggregate(ranges, 0L, (a, x) -> a + (x.end - x.start))").alias("n_hit"),
@@ -182,10 +200,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns.
 
-    A filter of the scan itself, one for each block of the benchmark: no join and no shuffle.
+    A filter of the scan itself: no join and no shuffle. What a block leaves is written before the next block's scan, so
+    that one automaton is held at a time.
     """
     at = documents.columns.index("text")
-    for items in _blocks(benchmark, block_chars):
+    tables, blocks = Tables(documents.sparkSession), _blocks(benchmark, block_chars)
+    items = next(blocks)
+    for k in itertools.count():
         sent, key = documents.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
@@ -194,4 +215,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
                 yield batch.filter(pa.array([not matcher.scan(t)[1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
-    return documents
+        if (items := next(blocks, None)) is None:
+            return documents
+        documents = tables.write(documents, f"clean{k}")
+        if k:
+            tables.drop(f"clean{k - 1}")

@@ -2,7 +2,8 @@
 
 Archive files are written by Spark's text writer, whose line end is the records' separator, and read as whole
 files by Spark's binary reader, so they work in any store Spark works in. A file holds at most
-``per_file`` records after its first, descriptive one, which bounds what a task holds in memory.
+``per_file`` records of up to ``LARGE_BYTES`` after its first, descriptive one; larger payloads go to files of their own, of as
+many records as fit ``FILE_BYTES`` if all were as large as the largest. That bounds what a task holds in memory.
 
 The reader of ARC takes the version from the file's version block (1: url, address, date, type, length; 2: also
 result code, checksum, location, offset, file name) and finds records by their declared lengths. The converter
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import arrow, remove, shared_dir, staged
 
 RECORDS = 1000
+LARGE_BYTES = 128 * 1024
+FILE_BYTES = 128 * 1024 * 1024
 REVISIT_BYTES = 1000
 DATE = "20200101000000"
 ADDRESS = "192.0.2.1"
@@ -43,7 +46,18 @@ def _write(rows: DataFrame, path: str, separator: str, per_file: int) -> None:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/*").select("content")
+
+
+def _by_size(size: Column, largest: int, per_file: int) -> list[tuple[str, Column, int]]:
+    """(folder, filter, records in a file) of small and of large payloads, so that no file is much above ``FILE_BYTES``."""
+    small = F.coalesce(size <= LARGE_BYTES, F.lit(True))
+    out = [("small", small, min(per_file, FILE_BYTES // LARGE_BYTES))]
+    return out if largest <= LARGE_BYTES else [*out, ("large", ~small, max(1, min(per_file, FILE_BYTES // largest)))]
+
+
+def largest_payload(pages: DataFrame) -> int:
+    return pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
 
 
 def _content(data: bytes) -> bytes:
@@ -91,7 +105,7 @@ def write_arc(pages: DataFrame, path: str, per_file: int = RECORDS) -> None:
     """The pages as legacy archives; files of odd partitions are version 2."""
     from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], per_file: int) -> Iterator[pa.RecordBatch]:
         version = 1 + TaskContext.get().partitionId() % 2
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -103,7 +117,9 @@ def write_arc(pages: DataFrame, path: str, per_file: int = RECORDS) -> None:
 
         yield from _led(rows(), version_block(version), per_file)
 
-    _write(pages.select("page_id", "url", "html").mapInArrow(run, "value string"), path, "\n", per_file)
+    for name, own, n in _by_size(F.octet_length("html"), largest_payload(pages), per_file):
+        rows = pages.select("page_id", "url", "html").where(own).mapInArrow(lambda batches, n=n: run(batches, n), "value string")
+        _write(rows, f"{path}/{name}", "\n", n)
 
 
 def arc_records(data: bytes) -> Iterator[tuple[str, str, str, str, bytes]]:
@@ -166,8 +182,8 @@ def _urn(page_id: str) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = RECORDS) -> None:
-    """Converted records as WARC archives: a response for each payload, revisits for others that are equal to it.
+def write_warc(records: DataFrame, path: str, per_file: int = RECORDS, largest: int | None = None) -> None:
+    """Converted records as WARC archives: a response for each payload, revisits for others that are equal to it. largest: of the payloads, if known.
 
     Only digests that occur twice and more go to the side of the join that finds them; it is a written table, so Spark
     broadcasts it if it is below its size threshold and shuffles otherwise.
@@ -191,10 +207,13 @@ def write_warc(records: DataFrame, path: str, per_file: int = RECORDS) -> None:
         line("Content-Length", F.octet_length(F.col("block")).cast("string")),
         F.lit("\r\n"),
     ]
-    rows = own.withColumn("block", block).select(F.concat(*head, F.col("block")).alias("value"))
+    rows = own.withColumn("block", block).select("payload_bytes", F.concat(*head, F.col("block")).alias("value"))
+    if largest is None:
+        largest = records.agg(F.max("payload_bytes")).first()[0] or 0
     about = "software: ledgerloom\r\nformat: WARC File Format 1.0\r\n"
     info = f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, about)}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n{about}"
-    _write(rows.mapInArrow(lambda batches: _led(batches, info, per_file), "value string"), path, "\r\n\r\n", per_file)
+    for name, fits, n in _by_size(F.col("payload_bytes"), largest, per_file):
+        _write(rows.where(fits).select("value").mapInArrow(lambda batches, n=n: _led(batches, info, n), "value string"), f"{path}/{name}", "\r\n\r\n", n)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -244,14 +263,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def archived(pages: DataFrame, per_file: int = RECORDS) -> DataFrame:
     """Writes the pages as ARC, converts the archives to WARC and reads those back: one row per page.
 
-    page_id, payload_bytes, payload_digest, record_type, refers_to. The ARC files go once they are converted.
+    page_id, payload_bytes, payload_digest, record_type, refers_to. The ARC files go once they are converted, the WARC files once they are read back.
     """
     spark = pages.sparkSession
     base = f"{shared_dir(spark)}/ledgerloom/archives-{uuid.uuid4().hex}"
     write_arc(pages, f"{base}/arc", per_file)
-    write_warc(converted(spark, f"{base}/arc"), f"{base}/warc", per_file)
+    write_warc(converted(spark, f"{base}/arc"), f"{base}/warc", per_file, largest_payload(pages))
     remove(spark, f"{base}/arc")
     found = staged(read_warc(spark, f"{base}/warc").drop("uri"), "archived")
+    remove(spark, base)
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type")
     target = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_id")).agg(F.max("page_id").alias("refers_to"))
     revisits = found.where("record_type = 'revisit'").join(target, "refers_id", "left").select(*columns, "refers_to")

@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import decontam
 
 from .helpers import clashing, documents, words
@@ -64,3 +66,24 @@ def test_empty_sides(spark):
     assert not decontam.contamination(df.where("false"), bench).collect()
     assert {r["n_hit"] for r in decontam.contamination(df, bench.where("false")).collect()} == {0}
     assert decontam.clean(df, bench.where("false")).count() == 2
+
+
+def test_rows_of_one_doc_id_keep_their_own_result(spark):
+    bench = spark.createDataFrame([(1, "a b c"), (2, "x y z")], "item_id long, text string")
+    df = documents(spark, ["a b c", "x y z", "a b c x y z", "q"]).withColumn("doc_id", F.lit(7).cast("long"))
+    for block in (100, 3):
+        assert sorted(r["n_hit"] for r in decontam.contamination(df, bench, block_chars=block).collect()) == [0, 3, 3, 6]
+
+
+def test_memory_of_a_block():
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))) for i in range(600)]
+    tracemalloc.start()
+    decontam.Matcher(items)
+    used, chars = tracemalloc.get_traced_memory()[1], sum(len(t) for _, t in items)
+    tracemalloc.stop()
+    # what Python sees; the automaton's own nodes are as much again
+    assert used / chars * decontam.BLOCK_CHARS < 250e6

@@ -31,6 +31,22 @@ def test_round_trip(spark, records):
     assert sorted(map(tuple, warc.archived(df, records).collect())) == want(df.collect())
 
 
+def test_large_payloads_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE_BYTES", 2000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(i, "http://h/", ("é" * 4500 if i % 5 == 0 else f"x{i}" * 300), "z") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string").repartition(2)
+    assert sorted(map(tuple, warc.archived(df).collect())) == want(df.collect())
+    warc.write_arc(df, f"file://{tmp_path}/arc")
+    sizes = [len(warc._content(p.read_bytes())) for p in (tmp_path / "arc").glob("*/part-*")]
+    assert len(sizes) > 5 and max(sizes) < 25_000
+
+
+def test_repeated_rows_are_one_record_each(spark):
+    df = pages(spark).where("page_id in (10, 20)")
+    assert sorted(map(tuple, warc.archived(df.union(df)).collect())) == sorted(want(df.collect()) * 2)
+
+
 def test_empty_table(spark):
     assert not warc.archived(pages(spark).where("false")).collect()
 
@@ -38,11 +54,11 @@ def test_empty_table(spark):
 def test_files_are_plain_archives(spark, tmp_path):
     df = pages(spark).repartition(2)
     warc.write_arc(df, f"file://{tmp_path}/arc")
-    seen = [warc._content(p.read_bytes()) for p in sorted((tmp_path / "arc").glob("part-*"))]
+    seen = [warc._content(p.read_bytes()) for p in sorted((tmp_path / "arc").glob("*/part-*"))]
     assert {d.split(b"\n")[1][:1] for d in seen} == {b"1", b"2"}  # both versions are written and read
     assert sum(len(list(warc.arc_records(d))) for d in seen) == 10
     warc.write_warc(warc.converted(spark, f"file://{tmp_path}/arc"), f"file://{tmp_path}/warc")
-    found = [x for p in (tmp_path / "warc").glob("part-*") for x in warc.warc_records(gzip.decompress(p.read_bytes()))]
+    found = [x for p in (tmp_path / "warc").glob("*/part-*") for x in warc.warc_records(gzip.decompress(p.read_bytes()))]
     kinds = [f["WARC-Type"] for f, _ in found]
     assert kinds.count("response") == 7 and kinds.count("revisit") == 3 and "warcinfo" in kinds
     for f, block in found:
