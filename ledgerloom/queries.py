@@ -356,13 +356,10 @@ SELECT event_id, CAST(CASE WHEN w BETWEEN 1 AND 1000 THEN w END AS INTEGER) AS w
   CASE WHEN w BETWEEN 1 AND 1000 THEN '' ELSE 'no_number' END AS error FROM p
 """)
 def q26_parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of two-line answers: in JVM expressions where the answer has that plain form, else by the full parser."""
+    """Numbers of two-line answers."""
     whole = F.floor(F.col("value") * 10).cast("string")
     e = _read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Line 1: "), whole, F.lit("\nLine 2: "), (F.col("event_id") % 7).cast("string")).alias("t"))
-    own = e.withColumn("a", answers.two_line_answer(F.col("t")))
-    plain = own.where("a is not null").select("event_id", "a.*")
-    rest = own.where("a is null").select("event_id", answers.parse_answer("t").alias("a")).select("event_id", "a.*")
-    return plain.unionByName(rest).drop("refusal")
+    return e.select("event_id", answers.parse_answer(F.col("t")).alias("a")).select("event_id", "a.*").drop("refusal")
 
 
 @_query("""

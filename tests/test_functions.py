@@ -62,19 +62,25 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("said, wager, risk, error", CASES)
-def test_answers(said, wager, risk, error):
-    got = answers.answer(said)
-    assert (got[0], got[1], got[5]) == (wager, risk, error)
-    assert got[2] == (wager is not None) and got[3] == (risk is not None)
-
-
-def test_two_line_form_agrees_with_the_parser(spark):
-    said = [c[0] for c in CASES] + [None, "Line 1: 2000\r\nLine 2: 9\n"]
-    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, x string")
-    for r in rows.select("x", answers.two_line_answer(F.col("x")).alias("a"), answers.parse_answer("x").alias("b")).collect():
-        assert tuple(r["b"]) == answers.answer(r["x"])
-        assert r["a"] is None or tuple(r["a"]) == tuple(r["b"])
+def test_answers(spark):
+    more = [
+        (None, None, None, "empty_response"),
+        ("Line 1: 2000\r\nLine 2: 9\n", None, None, "no_number"),
+        ("Risk: 3, wager = 40 (of 1000)", 40, 3, ""),
+        ("wager then stake: 70", 70, None, ""),
+        ("bet: 5 bet: 6", 5, None, ""),
+        ("RISK PROFILE 4", None, 4, "no_number"),
+        ("I stake (12) nothing, or 30 at most, 2", 30, None, ""),
+        ("٣٠\n٢", 30, 2, ""),
+        ("99999999999999999999\n2", None, 2, "no_number"),
+        ("1) 20\n2) 5", 20, 5, ""),
+        ("a: b: 7\nc: 8: 1", 7, 1, ""),
+    ]
+    cases = [*CASES, *more]
+    got = column(spark, [c[0] for c in cases], answers.parse_answer)
+    for (said, wager, risk, error), r in zip(cases, got, strict=True):
+        assert (r["wager"], r["risk"], r["error"]) == (wager, risk, error), said
+        assert r["valid"] == (wager is not None) and r["valid_risk"] == (risk is not None)
 
 
 def test_labels(spark):
