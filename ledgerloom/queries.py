@@ -562,6 +562,9 @@ def q42_prompt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("n_nationkey", "version", sentence.alias("sentence"))
 
 
+from . import report_queries  # noqa: E402,F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

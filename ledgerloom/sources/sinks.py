@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.reorganize import file_names, manifest
 
+#: White space at the ends of cells is kept.
+_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def _text(df: DataFrame) -> DataFrame:
     """Booleans as True and False, null as blank."""
@@ -18,7 +21,7 @@ def _text(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", single: bool = False) -> None:
     """A folder of CSV files with header, or of one file for small results."""
     own = _text(df)
-    (own.coalesce(1) if single else own).write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="", nullValue="").csv(path)
+    (own.coalesce(1) if single else own).write.mode(mode).options(**_OPTIONS, emptyValue="", nullValue="").csv(path)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -42,7 +45,7 @@ def replace_csv(df: DataFrame, path: str) -> str:
 def write_split(df: DataFrame, path: str, group_by: list[str]) -> DataFrame:
     """A folder for each group under its file name; returns the manifest. Groups of one name share a folder, none is lost."""
     own = _text(file_names(df, group_by))
-    own.write.partitionBy("_name").mode("errorifexists").options(header=True, quote='"', escape='"').csv(path)
+    own.write.partitionBy("_name").mode("errorifexists").options(**_OPTIONS).csv(path)
     return manifest(df, group_by)
 
 

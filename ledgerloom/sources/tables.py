@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import json
+from csv import reader as csv_lines
 
 import numpy as np
 import pandas as pd
@@ -13,30 +15,35 @@ from pyspark.sql import functions as F
 from ..operators.trials import FIELDS
 
 
-#: Columns that a CSV file can have.
-MAX_COLUMNS = 256
+def _headers(spark: SparkSession, path: str | list[str], encoding: str, options: dict[str, str]) -> dict[str, list[str]]:
+    """The files of each different first line. One scan of lines, of which only those where files begin are kept."""
+    lines = spark.read.options(header=False, quote="", sep="\x01", encoding=encoding, **options).schema("line string").csv(path)
+    own = lines.select("line", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
+    out: dict[str, list[str]] = {}
+    for r in own.groupBy("path").agg(F.min_by("line", "id").alias("line")).orderBy("path").collect():  # a row for each file
+        out.setdefault((r["line"] or "").removeprefix("\ufeff").rstrip("\r"), []).append(r["path"])
+    return out
 
 
 def csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """All columns as text, blank for missing, quoted line ends kept; ``_path`` is the file and ``_row`` the row in it.
+    """All columns as text, blank for missing, quoted line ends kept; ``_path`` is the file and ``_row`` the row in it, from 1.
 
-    Every file goes by its own header, so files may differ in columns and their order. A file with quoted line ends
-    is read by one task, whose row numbers are in file order.
+    Every file goes by its own header, so files may differ in columns and their order; a header is one line. A file with
+    quoted line ends is read by one task, whose row numbers are in file order.
     """
-    r = spark.read.options(header=False, multiLine=True, quote='"', escape='"', encoding=encoding, recursiveFileLookup=recursive)
-    r = r.option("pathGlobFilter", glob) if glob else r
-    raw = r.schema(", ".join(f"c{i} string" for i in range(MAX_COLUMNS))).csv(path)
-    cells = F.array(*[F.coalesce(f"c{i}", F.lit("")) for i in range(MAX_COLUMNS)])
-    own = raw.select(cells.alias("_cells"), F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"))
-    own = own.withColumn("_row", F.row_number().over(Window.partitionBy("_path").orderBy("_id")) - 1).drop("_id")
-    # one header for each file; the byte order mark of some editors is no part of a name
-    head = own.where("_row = 0").select("_path", F.transform("_cells", lambda c: F.regexp_replace(c, "^\ufeff", "")).alias("_head"))
-    names: dict[str, None] = {}
-    for r_ in head.select("_head").distinct().orderBy("_head").collect():
-        names.update(dict.fromkeys(n for n in r_[0] if n))
-    body = own.where("_row > 0").join(head, "_path")
-    value = lambda n: F.coalesce(F.try_element_at("_cells", F.nullif(F.array_position("_head", n), F.lit(0).cast("long")).cast("int")), F.lit(""))
-    return body.select(*[value(n).alias(n) for n in names], "_path", "_row")
+    options = {"recursiveFileLookup": str(recursive).lower()} | ({"pathGlobFilter": glob} if glob else {})
+    parts, names = [], {}
+    for line, files in _headers(spark, path, encoding, options).items():
+        head = next(csv_lines([line], strict=False), [])
+        columns = {n: f"c{i}" for i, n in reversed(list(enumerate(head))) if n}  # the first of equal names
+        names |= dict.fromkeys(n for n in head if n)
+        raw = spark.read.options(header=True, multiLine=True, quote='"', escape='"', encoding=encoding, enforceSchema=True).schema(", ".join(f"c{i} string" for i in range(max(1, len(head))))).csv(files)
+        parts.append(raw.select(*[F.coalesce(c, F.lit("")).alias(n) for n, c in columns.items()], F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id")))
+    if not parts:
+        return spark.createDataFrame([], "_path string, _row int")
+    own = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    own = own.withColumn("_row", F.row_number().over(Window.partitionBy("_path").orderBy("_id")))
+    return own.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], "_path", "_row")
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
