@@ -355,13 +355,27 @@ def _crowd_links(members: DataFrame, keys: DataFrame, texts: DataFrame, least: f
     """(u, v) true links within the large mixed buckets ``keys``. Buckets with common members are one crowd, so that each pair of blocks is compared once."""
     inside = members.join(keys, "key", "left_semi")
     hubs = inside.groupBy("key").agg(F.min("rep").alias("hub"))
-    crowds = components(inside.join(hubs, "key").select(F.col("rep").alias("src"), F.col("hub").alias("dst")))
-    named = crowds.select(F.col("node").alias("rep"), F.col("component").alias("key"))
+    met = inside.join(hubs, "key").select("rep", "hub").distinct()
+    # a member's buckets are one crowd: their first members are linked with the smallest of them
+    low = met.groupBy("rep").agg(F.min("hub").alias("low"))
+    crowds = components(met.join(low, "rep").where("hub <> low").select(F.col("hub").alias("src"), F.col("low").alias("dst")).distinct())
+    named = low.join(crowds.withColumnRenamed("node", "low"), "low", "left").select("rep", F.coalesce("component", "low").alias("key"))
     own = inside.select("rep", "class", "n", "sketch").dropDuplicates(["rep"]).join(named, "rep")
     full = own.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     return _sides(full, _mixed(own), "text").mapInArrow(lambda batches: _forest(batches, least), "u long, v long").distinct()
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after new links (u, v). Only classes that the new links touch are put together, old links are not walked again."""
+    if labels is None:
+        return components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    every = ends.join(labels, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component"))
+    one, two = (every.select(F.col("node").alias(x), F.col("component").alias(y)) for x, y in (("u", "src"), ("v", "dst")))
+    joined = components(links.join(one, "u").join(two, "v").select("src", "dst")).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return every.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
 def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every document; class_id is the smallest doc_id of the class."""
     tables = Tables(documents.sparkSession)
@@ -380,7 +394,7 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
         texts = texts.dropDuplicates(["doc_id"])
     members = met.join(sketches, "rep")
     few = EASY * met.count()
-    links = tested = labels = crowds = None
+    tested = labels = crowds = None
     turn, before, last = 0, None, False
     while not last:
         if labels is None:
@@ -411,8 +425,7 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
             new = new.unionByName(_crowd_links(classed, crowds, texts, least))
         new = tables.write(new, f"links{turn}")
         if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+            labels = tables.write(_merged(labels, new), f"classes{turn}")
         turn += 1
     tables.drop("buckets", "compared", "sketches", "compared_texts", *(f"{name}{k}" for k in range(turn + 1) for name in ("mixed", "pairs", "links")))
     named = groups.select("h1", "h2", "rep")
