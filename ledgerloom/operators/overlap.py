@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 BLOCK = 2000
+#: Bytes of n-grams, with 64 a row beside the text, that are broadcast.
+GRAM_BYTES = 64 << 20
 LIMITS = (0.82, 0.55, 0.30)
 _OUT = "candidate_ordinal long, reference_ordinal long, exact boolean, char_similarity double, token_jaccard double, ngram_jaccard double"
 
@@ -85,8 +87,11 @@ def shared_gram_overlap(left: DataFrame, right: DataFrame, least: float) -> Data
     """(left_id, right_id, n_common, jaccard) of rows (id, grams) whose sets of n-grams are at least this similar.
 
     An equi-join on n-grams: pairs without a common one cannot qualify. Grams that a side repeats count once.
+    The bytes of the right side's grams are added up first: up to ``GRAM_BYTES`` they are broadcast, so that the left
+    side's grams are dropped where they lie. More of them are joined by a shuffle.
     """
     a = left.select(F.col("id").alias("left_id"), F.size("grams").alias("ln"), F.explode("grams").alias("g"))
     b = right.select(F.col("id").alias("right_id"), F.size("grams").alias("rn"), F.explode("grams").alias("g"))
-    both = a.join(b, "g").groupBy("left_id", "right_id", "ln", "rn").agg(F.count("*").alias("n_common"))
+    size = b.agg(F.sum(F.octet_length("g") + 64)).first()[0] or 0
+    both = a.join(F.broadcast(b) if size <= GRAM_BYTES else b, "g").groupBy("left_id", "right_id", "ln", "rn").agg(F.count("*").alias("n_common"))
     return both.withColumn("jaccard", F.col("n_common") / (F.col("ln") + F.col("rn") - F.col("n_common"))).where(F.col("jaccard") >= least).select("left_id", "right_id", "n_common", "jaccard")

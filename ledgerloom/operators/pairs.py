@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import running
+from .robust import exact_quantiles
 
 
 def pivot_pairs(rows: DataFrame, pair: str, role: str, roles: tuple[str, str], measures: list[str], order: str, keep: list[str] | None = None) -> DataFrame:
@@ -66,8 +67,13 @@ def matched_deltas(rows: DataFrame, key: str, scale: str, base: float, measures:
     )
     pairs = own.where("_base is not null").select("_base", F.explode("_rest").alias("_r")).where(f"_base.{valid} and _r.{valid}")
     delta = pairs.select(F.col(f"_r.{scale}").alias(scale), *[(F.col(f"_r.{m}") - F.col(f"_base.{m}")).alias(m) for m in measures])
-    stats = [f(m).alias(f"{n}_{m}_delta") for m in measures for f, n in ((F.avg, "mean"), (F.median, "median"))]
-    return delta.groupBy(scale).agg(F.count("*").alias("n"), *stats)
+    stats = delta.groupBy(scale).agg(F.count("*").alias("n"), *[F.avg(m).alias(f"mean_{m}_delta") for m in measures])
+    # one row for each measure, so that all medians come from one ranking
+    long = delta.select(scale, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("x")) for m in measures])).alias("_d")).select(scale, "_d.m", "_d.x")
+    middle = exact_quantiles(long, [scale, "m"], "x", {"median": 0.5})
+    wide = middle.groupBy(scale).agg(*[F.max(F.when(F.col("m") == m, F.col("median"))).alias(f"median_{m}_delta") for m in measures])
+    out = stats.join(wide.withColumnRenamed(scale, "_scale"), F.col(scale).eqNullSafe(F.col("_scale")), "left")
+    return out.select(scale, "n", *[f"{n}_{m}_delta" for m in measures for n in ("mean", "median")])
 
 
 def scale_summary(rows: DataFrame, scale: str, valid: str, strict: str, measures: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Iterator
 from math import exp
@@ -27,15 +28,39 @@ def _by_value(df: DataFrame, group: list[str], x: str) -> DataFrame:
     counts = df.where(F.col(x).isNotNull()).groupBy(*group, x).agg(F.count("*").alias("n"))
     totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
     up = running(counts, group, [F.col(x)], F.col("n"), "below").withColumn("below", F.col("below") - F.col("n"))
-    return up.join(totals, group) if group else up.join(F.broadcast(totals), F.lit(True))
+    return _matched(up, totals, group, "inner")
+
+
+def _matched(left: DataFrame, right: DataFrame, group: list[str], how: str = "left") -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row a group; null is a group as well."""
+    if not group:
+        return left.join(F.broadcast(right), F.lit(True), how)
+    same = right.select(*[F.col(g).alias(f"_same_{g}") for g in group], *[c for c in right.columns if c not in group])
+    cond = functools.reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_same_{g}")) for g in group])
+    return left.join(same, cond, how).drop(*[f"_same_{g}" for g in group])
+
+
+def exact_quantiles(df: DataFrame, group: list[str], x: str, wanted: dict[str, float]) -> DataFrame:
+    """(group, one column for each wanted quantile): exact, by linear interpolation between the two rows around its place.
+
+    From ranks over counted values, so no task holds a group. Nulls do not count; a group of nothing else has no row.
+    """
+    own = _by_value(df, group, x)
+    parts = []
+    for name, q in wanted.items():
+        place = (F.col("total") - 1) * q
+        low, high = (F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col(x).cast("double"))) for k in (F.floor(place), F.ceil(place)))
+        share = F.max(place - F.floor(place))
+        parts.append(F.when(share == 0, low).otherwise(low * (1 - share) + high * share).alias(name))
+    return own.groupBy(*group).agg(*parts)
 
 
 def quantiles(df: DataFrame, group: list[str], x: str) -> DataFrame:
     """Mean, exact quantiles by linear interpolation, extremes, and counts of large values."""
     stats: list[Column] = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max")]
-    stats += [F.percentile(x, F.lit(q)).alias(f"p{round(q * 100):02d}") for q in QUANTILES]
     stats += [F.count_if(F.abs(F.col(x)) >= k).alias(f"abs_ge_{k}") for k in LARGE]
-    return df.groupBy(*group).agg(*stats)
+    wanted = {f"p{round(q * 100):02d}": q for q in QUANTILES}
+    return _matched(df.groupBy(*group).agg(*stats), exact_quantiles(df, group, x, wanted), group)
 
 
 def trimmed_and_winsorized(df: DataFrame, group: list[str], x: str) -> DataFrame:

@@ -271,3 +271,20 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["ok"] for r in back.collect()) == ["", "False", "True"]
     sinks.replace_csv(back.select("g", "ok").where("ok = 'True'"), str(tmp_path / "c"))
     assert tables.csv(spark, str(tmp_path / "c")).count() == 1 and (tmp_path / "c.bak").exists()
+
+
+def test_exact_quantiles(spark):
+    rows = [("a", float(v * v % 7)) for v in range(11)] + [(None, 3.0), (None, 5.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["low"], r["mid"]) for r in robust.exact_quantiles(df, ["g"], "x", {"low": 0.1, "mid": 0.5}).collect()}
+    want = {r["g"]: (r["low"], r["mid"]) for r in df.where("x is not null").groupBy("g").agg(F.percentile("x", F.lit(0.1)).alias("low"), F.percentile("x", F.lit(0.5)).alias("mid")).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert {r["g"]: (r["n"], r["p50"]) for r in robust.quantiles(df, ["g"], "x").collect()} == {"a": (11, want["a"][1]), None: (2, 4.0), "c": (0, None)}
+
+
+def test_matched_deltas_against_medians(spark):
+    rows = [(k, s, True, float(k * s % 5)) for k in range(9) for s in (0, 1, 2)]
+    df = spark.createDataFrame(rows, "k long, s int, valid boolean, v double")
+    got = sorted(tuple(r) for r in pairs.matched_deltas(df, "k", "s", 0, ["v"]).collect())
+    want = [(s, 9, float(np.mean(d)), float(np.median(d))) for s in (1, 2) if (d := [k * s % 5 for k in range(9)])]
+    assert [(a, b) for a, b, *_ in got] == [(a, b) for a, b, *_ in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want])
