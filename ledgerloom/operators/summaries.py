@@ -144,3 +144,22 @@ def kept_tokens(labels: Column | str, mask: Column | str, mode: str = "all", reg
 def steered(vector: str, direction: str, scale: float) -> Column:
     """A vector moved along a direction."""
     return F.zip_with(vector, direction, lambda h, d: h + F.lit(scale) * d)
+
+
+def robustness(df: DataFrame, valid: str, measure: str, condition: str) -> DataFrame:
+    """(model, level, temperature, prompt_version, n_rows, n_valid, n_conditions, mean) by version, and by temperature within it, in one pass.
+
+    Null keys are groups of their own; the mean is that of valid rows, null without any.
+    """
+    sets = [[F.col("model"), F.col("prompt_version")], [F.col("model"), F.col("temperature"), F.col("prompt_version")]]
+    got = df.groupingSets(sets, "model", "temperature", "prompt_version").agg(
+        F.grouping("temperature").alias("g"), F.count("*").alias("n_rows"), F.count_if(valid).alias("n_valid"), F.countDistinct(condition).alias("n_conditions"), F.avg(F.when(F.col(valid), F.col(measure))).alias("mean")
+    )
+    level = F.when(F.col("g") == 1, "version").otherwise("temperature")
+    return got.select("model", level.alias("level"), "temperature", "prompt_version", "n_rows", "n_valid", "n_conditions", "mean")
+
+
+def attached(rows: DataFrame, side: DataFrame, key: str, name: str) -> DataFrame:
+    """All rows, with the other columns of the side's row of the same key as a struct; null where there is none. The side has one row a key."""
+    packed = side.select(key, F.struct(*[c for c in side.columns if c != key]).alias(name))
+    return rows.join(packed, key, "left")

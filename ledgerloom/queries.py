@@ -289,10 +289,13 @@ def q19_extreme_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust.extremes(_deltas(spark, sf_dir), "x", "o_orderkey")
 
 
-@_query()
+@_query(_PAIRS + """, c AS (SELECT o_orderpriority, count(*) FILTER (WHERE delta > 0) AS positive, count(*) FILTER (WHERE delta < 0) AS negative, count(*) FILTER (WHERE delta = 0) AS zero FROM pair GROUP BY 1),
+t AS (SELECT *, unnest(range(0, least(positive, negative) + 1)) AS k, positive + negative AS n FROM c)
+SELECT o_orderpriority, positive, negative, zero, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END - CASE WHEN k = n THEN 0 ELSE lgamma(n - k + 1) END - n * ln(2)))), 6) AS two_sided_p
+FROM t WHERE n > 0 GROUP BY ALL""")
 def q20_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign test by group (R16); the exact binomial tail is no SQL function."""
-    return robust.signs(_pairs(spark, sf_dir), ["o_orderpriority"], "delta")
+    """Sign test by group."""
+    return robust.signs(_pairs(spark, sf_dir), ["o_orderpriority"], "delta").withColumn("two_sided_p", F.round("two_sided_p", 6))
 
 
 @_query()
@@ -562,7 +565,7 @@ def q42_prompt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("n_nationkey", "version", sentence.alias("sentence"))
 
 
-from . import report_queries  # noqa: E402,F401  registers its queries
+from . import report_queries, source_queries  # noqa: E402,F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

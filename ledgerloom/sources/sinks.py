@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import coerce
 from ..operators.reorganize import file_names, manifest
 
 #: White space at the ends of cells is kept.
@@ -49,6 +50,21 @@ def write_split(df: DataFrame, path: str, group_by: list[str]) -> DataFrame:
     return manifest(df, group_by)
 
 
+def write_blocks(trials: DataFrame, path: str) -> None:
+    """One CSV file for each block, under the block's file name. A block is a file that one writer resumes, so it fits one task."""
+    named = _text(trials.withColumn("_name", coerce.block_file("model", "temperature", "prompt_version")))
+    work = f"{path}.tmp-{uuid.uuid4().hex}"
+    named.repartition("_name").write.partitionBy("_name").options(**_OPTIONS, emptyValue="", nullValue="").option("maxRecordsPerFile", 0).csv(work)
+    spark = trials.sparkSession
+    jvm = spark.sparkContext._jvm
+    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p(path))
+    for part in fs.globStatus(p(f"{work}/_name=*/part-*")) or []:
+        fs.rename(part.getPath(), p(f"{path}/{part.getPath().getParent().getName().removeprefix('_name=')}"))
+    fs.delete(p(work), True)
+
+
 def write_vectors(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Vectors as Parquet, a folder for each layer, so that a scan of one layer reads no other."""
     df.write.mode(mode).partitionBy("layer").parquet(path)
