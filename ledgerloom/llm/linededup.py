@@ -220,12 +220,15 @@ def deduplicated(documents: DataFrame, edits: int = EDITS, max_share: float = MA
     # names are qualified, so the documents' own columns cannot clash with those of the repeats
     text = F.col("docs.text")
     few = f"reps.other_chars <= {max_share} * (length(docs.text) - reps.own_chars)"
-    cut = F.expr(f"array_join(filter(split(docs.text, '\\n'), (x, i) -> not array_contains(reps.own, i) and not ({few} and array_contains(reps.other, i))), '\\n')")
-    few = F.expr(few)
-    new = {"text": F.when(few.isNotNull(), cut).otherwise(text)}
+    # the places that stay are a difference of sets, so the work grows with a document's lines and not with their square; the text is split once
+    stay = f"array_except(sequence(0, size(raw) - 1), if({few}, concat(reps.own, reps.other), reps.own))"
+    cut = F.expr(f"if(({few}) is null, null, array_join(get(transform(array(split(docs.text, '\n')), raw -> transform({stay}, i -> get(raw, i))), 0), '\n'))")
+    new = {"text": F.coalesce("cut.text", text)}
     if "n_chars" in documents.columns:
-        size = F.when(few.isNotNull(), F.length(cut)).when(text.isNotNull(), F.length(text)).otherwise(F.col("docs.n_chars"))
+        size = F.coalesce(F.length("cut.text"), F.length(text), F.col("docs.n_chars"))
         new["n_chars"] = size.cast(documents.schema["n_chars"].dataType)
     # the lists grow with the documents, so they are joined by a shuffle at any size
     own = documents.alias("docs").join(found.hint("shuffle_hash").alias("reps"), F.col("docs.doc_id").eqNullSafe(F.col("reps.doc_id")), "left")
+    # the new text is a column of its own first, so that its length does not cut the text again
+    own = own.select(F.struct(*[F.col(f"docs.`{c}`").alias(c) for c in documents.columns]).alias("docs"), F.struct(cut.alias("text")).alias("cut"))
     return own.select(*[new.get(c, F.col(f"docs.`{c}`")).alias(c) for c in documents.columns])
