@@ -62,15 +62,22 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
             remove(self.spark, f"{self.base}/{name}")
+            self.names.remove(name)
+
+    def keep(self, *names: str) -> None:
+        """Drop all other tables."""
+        self.drop(*(n for n in [*self.names] if n not in names))
 
 
 #: Most ids that are broadcast: about 64 MB as a hash table.
