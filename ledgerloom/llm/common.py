@@ -72,8 +72,9 @@ class Tables:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            remove(self.spark, f"{self.base}/{name}")
-            self.names.remove(name)
+            if name in self.names:
+                remove(self.spark, f"{self.base}/{name}")
+                self.names.remove(name)
 
     def keep(self, *names: str) -> None:
         """Drop all other tables."""
