@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return con
 
@@ -30,8 +30,8 @@ def test_query_against_sql(spark, duck, name):
     assert shown(queries.queries()[name](spark, str(SMALL)).toPandas()) == shown(duck.execute(queries.oracle_sql()[name]).df())
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_stages_against_brute_force(spark, tmp_path):
