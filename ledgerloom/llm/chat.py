@@ -83,11 +83,8 @@ def branches(nodes: DataFrame, tables: Tables, keep: int = 1) -> DataFrame:
     chosen = leaves.join(totals, "node").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
     path = tables.write(chosen.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("position"), "rank"), "leaves")
     for k, level in enumerate(up):
-        if level.isEmpty():
-            break
-        here, there = F.struct("node", "position"), F.struct(F.col("above").alias("node"), (F.col("position") + (1 << k)).alias("position"))
-        both = F.when(F.col("above").isNull(), F.array(here)).otherwise(F.array(here, there))
-        path = path.join(level, "node", "left").select("leaf", "rank", F.explode(both).alias("at")).select("leaf", "at.node", "at.position", "rank")
+        above = path.join(level, "node").select("leaf", F.col("above").alias("node"), (F.col("position") + (1 << k)).alias("position"), "rank")
+        path = path.unionByName(tables.write(above, f"path{k}"))  # only what is new is made and written
     return path
 
 
