@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def running(df: DataFrame, group: list[str], order: list[Column], value: Column | int, name: str) -> DataFrame:
     """Adds the sum of ``value`` over the rows of the group up to and including this one in ``order``.
 
     Rows are range-partitioned by group and order; windows run inside each range, and what lies before a range comes from the
-    sums of (range, group), so a group with most of the rows is shared by many tasks. The ranges are kept (memory and disk),
-    as they must be the same for both uses; a lost one is computed again with the same bounds.
+    sums of (range, group), so a group with most of the rows is shared by many tasks. The ranges are written at once, as they
+    must be the same for both uses.
     """
     value = F.lit(value) if isinstance(value, int) else value
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = df.withColumn("_v", value).repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("_p", F.spark_partition_id()).persist()
+    own = df.withColumn("_v", value).repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("_p", F.spark_partition_id())
+    own = scratch.written(own, "ranges")
     sums = own.groupBy("_p", *group).agg(F.sum("_v").alias("_s"))
     before = sums.withColumn("_b", F.sum("_s").over(Window.partitionBy(*group).orderBy("_p")) - F.col("_s")).drop("_s")
     inside = own.withColumn("_r", F.sum("_v").over(Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -294,14 +294,21 @@ def q64_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH r AS (SELECT o_orderpriority AS c, 'model-' || o_orderstatus AS m, o_custkey AS run FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 4 = 1)
-SELECT c AS condition, m AS model, count(DISTINCT run) AS n_rows FROM r GROUP BY ALL
+WITH o AS (
+  SELECT *, CASE WHEN o_orderkey % 50 = 7 THEN '' ELSE 'model-' || o_orderstatus END AS old_model FROM orders
+), row_ AS (
+  SELECT 1 AS old, 1 AS file, o_orderkey AS k, o_orderpriority AS c, o_custkey AS n, 'model-' || o_orderstatus AS m FROM o WHERE o_orderkey % 4 <> 3 AND o_orderstatus <> 'P'
+  UNION ALL SELECT 0, 0, o_orderkey, o_orderpriority, o_custkey, old_model FROM o WHERE old_model IN ('', 'model-P')
+), best AS (
+  SELECT * FROM row_ QUALIFY row_number() OVER (PARTITION BY m, c, n ORDER BY old, file, k) = 1
+)
+SELECT CAST(row_number() OVER (ORDER BY m, c, n, file, k) AS VARCHAR) AS trial_id, c AS condition, m AS model, CAST(n AS VARCHAR) AS run_number, CAST(k AS VARCHAR) AS origin FROM best
 """)
 def q65_merge_blocks_and_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block rows over an older output that they supersede, one row each."""
-    own = _trial_rows(spark, sf_dir).withColumn("request_id", F.lit(""))
+    """Block rows over an older output that they supersede, one row each, with new ids in order; rows without a block stay."""
+    own = _trial_rows(spark, sf_dir).withColumns({"request_id": F.lit(""), "prompt_text": F.col("trial_id")})
     key = F.col("trial_id").cast("long")
     places = {"_file": F.lit(1), "_row": key}
-    blocks = own.where((key % 2 == 0) | (key % 4 == 1)).withColumns(places)
-    got = trials.merge(blocks, own.withColumns(places))
-    return got.groupBy("condition", "model").agg(F.count("*").alias("n_rows"))
+    blocks = own.where((key % 4 != 3) & (F.col("model") != "model-P")).withColumns(places)
+    old = own.withColumn("model", F.when(key % 50 == 7, "").otherwise(F.col("model"))).withColumns(places)
+    return trials.merge(blocks, old).select("trial_id", "condition", "model", "run_number", F.col("prompt_text").alias("origin"))

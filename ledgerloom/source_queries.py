@@ -10,7 +10,7 @@ from .operators import partitioning, regression, summaries, trials, vectors
 from .plans import generation
 from .queries import PRIORITIES, _query, _read
 from .report_queries import _trial_rows
-from .sources import scratch, sinks, tables
+from .sources import activations, scratch, sinks, tables
 from .streaming import progress as stream
 
 
@@ -189,3 +189,51 @@ def q80_streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = stream.start(stream.counts(stream.block_stream(spark, f"{base}/blocks")), lambda df, _: df.write.mode("overwrite").parquet(f"{base}/counts"), f"{base}/checkpoint", once=True)
     query.awaitTermination()
     return spark.read.parquet(f"{base}/counts")
+
+
+def _activation_run(spark: SparkSession, sf_dir: str) -> str:
+    """Vectors as a run of three layers: a vector's prompt has one to three tokens, each half of the one before."""
+    e = _read(spark, sf_dir, "embeddings").withColumn("n", (1 + F.col("vec_id") % 3).cast("int"))
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    scaled = F.transform(places, lambda i: F.transform("embedding", lambda x: (x * F.col("layer") / F.pow(F.lit(2.0), i)).cast("float")))
+    rows = e.withColumn("layer", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4)))).select(
+        "layer", F.col("vec_id").cast("int").alias("position"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("prompt_id"), F.lit("resid_post").alias("activation_site"), F.lit("all").alias("token_mode"),
+        F.transform(places, lambda i: (i + 100).cast("long")).alias("token_ids"), places.alias("token_positions"), F.slice(F.array(F.lit("scenario"), F.lit("question"), F.lit("answer")), 1, F.col("n")).alias("token_regions"),
+        F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), scaled.alias("vectors"),
+    )
+    path = scratch.folder(spark, "activations")
+    activations.write_run(rows, path, 64, manifest={"extraction": {"token_mode": "all", "activation_site": "resid_post"}})
+    return path
+
+
+@_query("""
+WITH t AS (SELECT *, unnest(range(0, 1 + vec_id % 3)) AS i FROM embeddings), k AS (SELECT unnest([2, 4]) AS layer)
+SELECT layer, 'v' || vec_id AS prompt_id, CAST(i AS INTEGER) AS token_index, 100 + i AS token_id, CASE i WHEN 0 THEN 'scenario' ELSE 'answer' END AS token_region,
+  round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * layer / power(2, i))), 4) AS total
+FROM t, k WHERE label IN (1, 2, 3) AND i <> 1
+""")
+def q81_activation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of several layers with equal file names, written and read by layer, region and metadata."""
+    got = activations.vectors(spark, _activation_run(spark, sf_dir), [2, 4], ["scenario", "answer"], {"label": ["1", "2", "3"]})
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return got.select("layer", "prompt_id", "token_index", "token_id", "token_region", F.round(total, 4).alias("total"))
+
+
+@_query("""
+WITH r AS (SELECT vec_id % 7 AS k, 1 + vec_id % 3 AS n FROM embeddings, range(0, 3)),
+v AS (SELECT unnest(list_filter([CASE WHEN k = 1 THEN 'token_mode' END, CASE WHEN k = 2 THEN 'activation_site' END, CASE WHEN k IN (3, 6) THEN 'token_positions' END,
+  CASE WHEN k = 4 AND n <> 1 OR k = 6 THEN 'token_regions' END, CASE WHEN k IN (5, 6) THEN 'num_tokens' END, CASE WHEN k = 6 THEN 'tokens_beyond_tensor' END], lambda x: x IS NOT NULL)) AS kind FROM r
+  UNION ALL SELECT 'total_prompts')
+SELECT kind, count(*) AS n, CAST(least(count(*), 25) AS INTEGER) AS shown FROM v GROUP BY kind
+""")
+def q82_activation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of error in a run, with the first places of each; index rows are altered by their prompts' numbers."""
+    run = _activation_run(spark, sf_dir)
+    k = F.substring("prompt_id", 2, 20).cast("long") % 7
+    rows = activations.index_rows(spark, run, activations.headers(spark, run)).withColumns({
+        "token_mode": F.when(k == 1, "last").otherwise(F.col("token_mode")), "activation_site": F.when(k == 2, "mlp").otherwise(F.col("activation_site")),
+        "token_positions": F.when(k == 3, F.array().cast("array<int>")).otherwise(F.col("token_positions")), "token_regions": F.when(k == 4, F.array(F.lit("x"))).otherwise(F.col("token_regions")),
+        "num_tokens": F.when(k == 5, 99).otherwise(F.col("num_tokens")), "token_ids": F.when(k == 6, F.array_repeat(F.lit(7).cast("long"), 99)).otherwise(F.col("token_ids")),
+    })
+    found = activations.validate(spark, run, _read(spark, sf_dir, "embeddings").where("vec_id > 0"), rows)
+    return found.select("kind", "n", F.size("places").alias("shown"))

@@ -1,14 +1,10 @@
-"""Scans: string-typed CSV tables, conditions, prompts, JSON lines, activation runs."""
+"""Scans: string-typed CSV tables, conditions, prompts, JSON lines."""
 
 from __future__ import annotations
 
 import functools
-import io
-import json
 from csv import reader as csv_lines
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,71 +107,3 @@ def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per JSON object; blank lines are skipped and others raise."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-
-
-_INDEX = "prompt_id string, num_tokens int, token_ids array<long>, token_positions array<int>, token_regions array<string>, activation_site string, token_mode string, metadata map<string,string>"
-
-
-def activation_shards(spark: SparkSession, run: str) -> DataFrame:
-    """(layer, tensor_file, index_file, shape) of a run's manifest; shapes must have three dimensions."""
-    text = spark.read.text(f"{run}/manifest.json", wholetext=True).first()[0]
-    rows = []
-    for s in json.loads(text).get("shards", []):
-        if missing := [k for k in ("layer", "tensor_file", "index_file", "shape") if k not in s]:
-            raise ValueError(f"a shard lacks {missing[0]}")
-        if len(s["shape"]) != 3:
-            raise ValueError(f"shape {s['shape']} has not three dimensions")
-        rows.append((int(s["layer"]), str(s["tensor_file"]), str(s["index_file"]), [int(x) for x in s["shape"]]))
-    return spark.createDataFrame(rows, "layer int, tensor_file string, index_file string, shape array<int>")
-
-
-def activation_vectors(
-    spark: SparkSession, run: str, layers: list[int] | None = None, regions: list[str] | None = None, metadata: dict[str, list[str]] | None = None,
-    site: str | None = "resid_post", max_vectors: int | None = None,
-) -> DataFrame:
-    """One row per token: run_dir, layer, prompt_id, batch_row, token_index, token_id, token_position, token_region, site, mode, metadata, vector.
-
-    Shards of other layers are not read. Index rows become token rows by Spark's JSON reader functions, and only the tokens that
-    pass all filters meet their shard's tensor, which gives up all their vectors in one indexing. ``max_vectors``
-    keeps the first ones in order of the manifest.
-    """
-    shards = activation_shards(spark, run)
-    shards = shards.where(F.col("layer").isin(layers)) if layers is not None else shards
-    listed = shards.collect()  # a manifest's entries
-    if not listed:
-        raise ValueError(f"no shards of layers {layers} in {run}")
-    name = lambda path: F.element_at(F.split(path, "/"), -1)
-    numbered = spark.createDataFrame([(k, s["layer"], s["tensor_file"].split("/")[-1], s["index_file"].split("/")[-1], s["shape"][1]) for k, s in enumerate(listed)], "shard int, layer int, tensor string, index string, most int")
-    text = spark.read.text([f"{run}/{s['index_file']}" for s in listed], wholetext=True).select(name(F.col("_metadata.file_path")).alias("index"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    rows = text.select("index", F.posexplode("lines").alias("batch_row", "line")).select("index", "batch_row", F.from_json("line", _INDEX).alias("r")).select("index", "batch_row", "r.*")
-    rows = rows.withColumn("metadata", F.transform_values(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda _, v: F.trim(v)))
-    if site is not None:
-        rows = rows.where(F.coalesce("activation_site", F.lit(site)) == site)
-    for key, values in (metadata or {}).items():
-        rows = rows.where(F.coalesce(F.try_element_at("metadata", F.lit(key)), F.lit("")).isin(values))
-    count = F.coalesce("num_tokens", F.size("token_ids"), F.lit(0))
-    own = numbered.join(rows, "index").withColumn("n", count).withColumn("labels", F.when(F.size("token_regions") > 0, F.col("token_regions")).otherwise(F.array_repeat(F.lit("unknown"), F.col("n"))))
-    fits = (F.col("n") <= F.col("most")) & (F.size("labels") >= F.col("n"))
-    wrong = F.raise_error(F.concat(F.lit("row "), F.col("batch_row") + 1, F.lit(" of layer "), F.col("layer"), F.lit(" has other numbers of tokens, regions and tensor columns: "), F.col("n"), F.lit(", "), F.size("labels"), F.lit(", "), F.col("most")))
-    tokens = own.select("*", F.posexplode(F.when(fits, F.slice("labels", 1, F.col("n"))).otherwise(wrong.cast("array<string>"))).alias("token_index", "token_region"))
-    if regions is not None:
-        tokens = tokens.where(F.col("token_region").isin(regions))
-    at = lambda c: F.get(c, F.col("token_index"))
-    tokens = tokens.select("shard", "tensor", "layer", "prompt_id", "batch_row", "token_index", at("token_ids").alias("token_id"), at("token_positions").alias("token_position"), "token_region", "activation_site", "token_mode", F.to_json("metadata").alias("meta"))
-    if max_vectors is not None:
-        tokens = tokens.orderBy("shard", "batch_row", "token_index").limit(max_vectors)
-    tensors = spark.read.format("binaryFile").load(list({f"{run}/{s['tensor_file']}" for s in listed})).select(name("path").alias("tensor"), "content")
-    return tokens.groupBy("tensor").cogroup(tensors.groupBy("tensor")).applyInPandas(_gather, _VECTOR).withColumn("prompt_metadata", F.from_json("prompt_metadata", "map<string,string>")).select(F.lit(run).alias("run_dir"), "*")
-
-
-def _gather(tokens: pd.DataFrame, tensor: pd.DataFrame) -> pd.DataFrame:
-    """The tokens of one shard with their vectors, widened to single precision."""
-    out = tokens.rename(columns={"meta": "prompt_metadata"}).drop(columns=["shard", "tensor"])
-    vectors = np.load(io.BytesIO(tensor["content"][0]))[tokens["batch_row"], tokens["token_index"]].astype(np.float32) if len(tokens) else np.zeros((0, 0), np.float32)
-    return out.assign(vector=pd.Series(list(vectors), index=out.index, dtype=object))
-
-
-_VECTOR = (
-    "layer int, prompt_id string, batch_row int, token_index int, token_id long, token_position int, token_region string, activation_site string, token_mode string, "
-    "prompt_metadata string, vector array<float>"
-)

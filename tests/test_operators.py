@@ -250,18 +250,6 @@ def test_conditions_and_prompts(spark, tmp_path):
     assert [(r["prompt_id"], r["metadata"]["domain"]) for r in got] == [("prompt_00000", "x"), ("id7", "y")]
 
 
-def test_activation_run(spark, tmp_path):
-    np.save(tmp_path / "t.npy", np.arange(24, dtype=np.float16).reshape(1, 3, 8))
-    row = {"prompt_id": "paper_even", "num_tokens": 3, "token_ids": [101, 102, 103], "token_positions": [0, 1, 2], "token_regions": ["scenario", "decision_question", "response_instruction"], "metadata": {"condition": "e", "prompt_family": "realization_frame"}}
-    (tmp_path / "i.jsonl").write_text(json.dumps(row) + "\n\n")
-    (tmp_path / "manifest.json").write_text(json.dumps({"shards": [{"layer": 12, "tensor_file": "t.npy", "index_file": "i.jsonl", "shape": [1, 3, 8]}]}))
-    read = lambda **kw: tables.activation_vectors(spark, str(tmp_path), **kw)
-    assert read(layers=[12], regions=["scenario", "decision_question"]).count() == 2
-    assert read(metadata={"prompt_family": ["realization_frame"]}).count() == 3 and read(metadata={"prompt_family": ["other"]}).count() == 0
-    got = vectors.mean_vector(read(regions=["scenario", "decision_question"]), ["prompt_id"], "vector").first()
-    assert got["vector"] == [float(v) for v in range(4, 12)] and got["n"] == 2
-
-
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("x y", True), ("z", False), ("z", None)], "g string, ok boolean")
     m = sinks.write_split(df, str(tmp_path / "s"), ["g"])
