@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
+from ..sources import scratch
 from .ranks import numbered
 
 FIELDS = (
@@ -66,18 +67,34 @@ def merge(blocks: DataFrame, output: DataFrame | None = None, step: int = 1) ->
     all rows that the output has of it; output rows without a block stay. Earlier sources win among equals: the
     output, then blocks in order, then files, then rows.
     """
-    own = blocks.withColumn("_b", coerce.block_selector()).where("_b is not null")
-    own = own.withColumns({"_c": coerce.strip("condition"), "_n": coerce.run_number("run_number")})
-    own = balanced(own, ["_b"], "_c", "_n", step).withColumn("_old", F.lit(1))
-    if output is not None:
-        old = output.withColumn("_b", coerce.block_selector())
-        seen = own.select("_b").distinct()
-        old = old.join(seen, "_b", "left_anti").withColumns({"_old": F.lit(0), "_file": F.lit(0)})
-        own = own.unionByName(old, allowMissingColumns=True)
-    own = own.withColumn("_bk", F.coalesce(F.to_json("_b"), F.lit("")))
-    ranks = own.select("_bk").distinct().withColumn("_brank", F.dense_rank().over(Window.orderBy("_bk")))  # a row for each block
-    one = dedupe(own.join(ranks, "_bk"), ["_old", "_brank", "_file", "_row"])
-    return numbered(one.select(*FIELDS, "_brank", "_file", "_row"), [*row_order(), F.col("_file"), F.col("_row")], "_id").withColumn("trial_id", F.col("_id").cast("string")).select(*FIELDS)
+    new = _keyed(blocks, F.col("_file")).where("_b is not null").withColumn("_old", F.lit(1))
+    old = None if output is None else _keyed(output, F.lit(0)).withColumn("_old", F.lit(0))
+    own = scratch.written(new if old is None else new.unionByName(old), "keyed")
+    new = balanced(own.where("_old = 1"), ["_b"], f"_o{_CONDITION}", f"_o{_RUN}", step)
+    seen = _few(own.where("_old = 1").select("_b").distinct())
+    if old is not None:
+        new = new.unionByName(own.where("_old = 0").join(seen, "_b", "left_anti").select(own.columns))
+    ranks = own.select("_b").distinct().withColumn("_brank", F.dense_rank().over(Window.orderBy(F.col("_b").asc_nulls_first())))  # a row for each block
+    ranked = new.join(_few(ranks), new["_b"].eqNullSafe(ranks["_b"])).drop(ranks["_b"])
+    one = best_rows(ranked, ["_key"], [F.col("_quality")], ["_old", "_brank", "_file", "_row"])
+    order = [F.col(f"_o{i}") for i in range(len(row_order()))]
+    return numbered(one, [*order, F.col("_file"), F.col("_row")], "_id").withColumn("trial_id", F.col("_id").cast("string")).select(*FIELDS)
+
+
+#: Places of the condition and the run in ``row_order``.
+_CONDITION, _RUN = 3, 4
+#: Most blocks whose keys are broadcast.
+MANY_BLOCKS = 100_000
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= MANY_BLOCKS else keys
+
+
+def _keyed(trials: DataFrame, file: Column) -> DataFrame:
+    """The fields, ``_file`` and ``_row``, and every key that a merge needs, each made once a row."""
+    order = [c.alias(f"_o{i}") for i, c in enumerate(row_order())]
+    return trials.select(*FIELDS, file.cast("int").alias("_file"), "_row", F.to_json(coerce.block_selector()).alias("_b"), coerce.identity().alias("_key"), coerce.quality().alias("_quality"), *order)
 
 
 def missing_runs(conditions: DataFrame, runs: int, done: DataFrame) -> DataFrame:
