@@ -8,19 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, deleted when the application ends; only a local session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+def base(spark: SparkSession) -> str:
+    """The application's folder below ``spark.checkpoint.dir``, deleted when the application ends; only a local session without one gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/ledgerloom-tables"
-    own = f"{base.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
+        found = f"file://{tempfile.gettempdir()}/ledgerloom-tables"
+    own = f"{found.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
+    return own
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder."""
+    return f"{base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
