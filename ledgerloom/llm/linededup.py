@@ -23,21 +23,16 @@ empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import BROADCAST_IDS, components, staged
 
 EDITS = 2
 SHORT = 8
 LONG = 24
 #: A document keeps its repeats of other documents if they are more than this share of its characters: it is a copy, not a text with boilerplate.
 MAX_SHARE = 0.5
-#: Documents whose needed lines are broadcast in one block (about 100 bytes each), and the most such blocks; beyond that the texts are shuffled.
-BLOCK = 500_000
-BLOCKS = 8
 
 
 def _trimmed(raw: Column) -> Column:
@@ -111,34 +106,15 @@ def within(a: str, b: str, edits: int, tiered: bool = False) -> Column:
     return F.expr(f"get(transform(array({x}), x -> aggregate(x.shorter, {start}, (s, c) -> if(s.n > {edits}, s, {step})).n <= {most}), 0)")
 
 
-def _texts(documents: DataFrame, firsts: DataFrame, needed: DataFrame) -> DataFrame:
-    """(h, line) of the needed hashes, each from the place where its line stands first, so only documents with such a line are cut.
+def _texts(firsts: DataFrame, needed: DataFrame) -> DataFrame:
+    """(h, line) of the needed hashes. Up to ``BROADCAST_IDS`` of them, counted first, are broadcast; beyond, the lines are shuffled."""
+    side = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed.hint("shuffle_hash")
+    return firsts.select("h", "line").join(side, "h", "left_semi")
 
-    The places of needed lines are counted: up to ``BLOCKS`` blocks of ``BLOCK`` documents are broadcast, each for a
-    scan of the documents, so that their texts are not shuffled. Spark may hold all blocks at once, so the bound is
-    ``BLOCKS * BLOCK`` documents. More of them are joined by a shuffle.
-    Rows of one doc_id may have different texts; the hash tells.
-    """
-    places = firsts.select("h", "doc_id", "line_no").join(needed, "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "line_no")).alias("at"))
-    places = staged(places, "places")
-    blocks = -(-places.count() // BLOCK)
-    own = documents.select("doc_id", "text").alias("docs")
-    same = F.col("docs.doc_id").eqNullSafe(F.col("places.doc_id"))
-    if 0 < blocks <= BLOCKS:
-        parts = [places.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == i) for i in range(blocks)]
-        joined = functools.reduce(DataFrame.union, [own.join(F.broadcast(part).alias("places"), same) for part in parts])
-    else:
-        joined = own.join(places.alias("places"), same)
-    joined = joined.select("text", "at")
-    # the text is split once, as the variable of the outer lambda
-    found = F.transform(F.array(F.split("text", "\n")), lambda raw: F.transform("at", lambda p: F.struct(p["h"].alias("h"), _trimmed(F.get(raw, p["line_no"])).alias("line"))))
-    return joined.select(F.explode(found[0]).alias("x")).select("x.h", "x.line").where(F.col("h") == _hashes()[0]).distinct()
-
-
-def near_links(documents: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
-    """(src, dst) hashes of different lines within ``edits``. firsts: h, doc_id, line_no, index, probe of each distinct line."""
-    index = firsts.select(F.explode("index").alias("key"), "h").where("key is not null")
-    probe = firsts.select(F.explode("probe").alias("key"), "h").where("key is not null")
+
+def near_links(firsts: DataFrame, edits: int) -> DataFrame:
+    """(src, dst) hashes of different lines within ``edits``. firsts: h, line of each distinct line, a written table."""
+    index, probe = (firsts.withColumn("n", F.length("line")).select(F.explode(F.array(*keys)).alias("key"), "h").where("key is not null") for keys in _keys(edits))
     bucket = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n"))
     pairs_of = F.explode(F.array_distinct(F.array("lo", "hi"))).alias("dst")
     met = staged(probe.join(bucket, "key").where("n > 2 or h <> lo or h <> hi"), "probes")
@@ -150,7 +126,7 @@ def near_links(documents: DataFrame, firsts: DataFrame, edits: int) -> DataFrame
     inside = staged(index.join(many, "key"), "inside")
     asking = met.where("n > 2").select("key", "h").unionByName(inside)
     needed = few.select(F.col("src").alias("h")).union(few.select("dst")).union(asking.select("h")).union(inside.select("h"))
-    texts = staged(_texts(documents, firsts, staged(needed.distinct(), "needed")), "line_texts")
+    texts = staged(_texts(firsts, staged(needed.distinct(), "needed")), "line_texts")
     a, b = (texts.select(F.col("h").alias(x), F.col("line").alias(f"{x}_line")) for x in ("src", "dst"))
     linked = few.join(a, "src").join(b, "dst").where(within("src_line", "dst_line", edits, True)).select("src", "dst")
     # each edit changes at most two letter counts, so at most two bits of their parities
@@ -169,19 +145,17 @@ def classes(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     The first line names the class. n_links: how many different lines are linked to the line's text. A line that
     has no row is a class of its own, without links.
     """
-    index, probe = _keys(edits)
-    every = lines(documents).withColumn("n", F.length("line"))
-    place = F.struct("doc_id", "line_no", F.array(*index).alias("index"), F.array(*probe).alias("probe"))
-    firsts = every.select(*_hashes(), place.alias("at")).groupBy("h", "g").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    every = lines(documents)
+    firsts = every.select(*_hashes(), F.struct("doc_id", "line_no", "line").alias("at")).groupBy("h", "g").agg(F.min("at").alias("at"), F.count("*").alias("n"))
     firsts = staged(firsts.select("h", "g", "n", "at.*"), "firsts")
-    links = staged(near_links(documents, firsts, edits), "line_links")
+    links = staged(near_links(firsts, edits), "line_links")
     degree = links.select(F.col("src").alias("h")).union(links.select("dst")).groupBy("h").agg(F.count("*").alias("n_links"))
     labels = components(links).withColumnRenamed("node", "h").join(degree, "h")
     named = firsts.select("h", "g", "n", F.struct("doc_id", "line_no").alias("at")).join(labels, "h", "left")
     named = named.select("h", "g", "n", "at", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "h").alias("c"), F.when(F.col("component").isNull(), F.col("g")).otherwise(F.lit(0)).alias("d"))
     grouped = named.groupBy("c", "d").agg(F.min("at").alias("first"), F.sum("n").alias("class_size")).where("class_size > 1")
     found = named.select("h", "g", "c", "d", "n_links").join(grouped, ["c", "d"]).select("h", "g", "first", "class_size", "n_links")
-    own = every.select("doc_id", "line_no", F.col("n").alias("n_chars"), *_hashes())
+    own = every.select("doc_id", "line_no", F.length("line").alias("n_chars"), *_hashes())
     out = own.join(found, ["h", "g"])
     return out.select("doc_id", "line_no", "n_chars", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "class_size", "n_links")
 

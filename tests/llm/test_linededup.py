@@ -108,11 +108,9 @@ def test_bit_parallel_distance(spark, edits):
     assert all(r["near"] == (distance(r["a"], r["b"]) <= edits) for r in df.collect())
 
 
-@pytest.mark.parametrize("limits", [(1, 10_000), (1, 1)])
-def test_places_in_blocks_or_shuffled(spark, monkeypatch, limits):
+def test_needed_lines_by_shuffle(spark, monkeypatch):
     texts = corpus()[:25]
-    monkeypatch.setattr(linededup, "BLOCK", limits[0])
-    monkeypatch.setattr(linededup, "BLOCKS", limits[1])
+    monkeypatch.setattr(linededup, "BROADCAST_IDS", 0)
     got = {tuple(r) for r in linededup.repeats(documents(spark, texts)).select("doc_id", "line_no", "first_doc", "first_line").collect()}
     assert got == brute(texts, linededup.EDITS)
 

@@ -84,7 +84,7 @@ def test_section_counts_against_offsets(spark, reference):
     for i, t in enumerate(texts):
         t = t or ""
         own = got[got["doc_id"] == i].sort_values("section")
-        sections = t.splitlines(keepends=True) if False else [x + "\n" for x in t.split("\n")[:-1]] + ([t.split("\n")[-1]] if t.split("\n")[-1] or not t else [])
+        sections = [x + "\n" for x in t.split("\n")[:-1]] + ([t.split("\n")[-1]] if t.split("\n")[-1] or not t else [])
         assert [t[a:b] for a, b in zip(own["start"], own["end"], strict=True)] == sections
         ids = reference.encode(t, add_special_tokens=False).ids
         assert own["n_tokens"].sum() == len(ids)
