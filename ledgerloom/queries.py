@@ -405,12 +405,39 @@ def q29_ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.shared_gram_overlap(grams("documents", "doc_id"), grams("benchmark", "item_id"), 0.01).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four altered texts of each benchmark item: in brackets, without its end, backwards by words, and its first half."""
+    w = F.split("text", " ")
+    size = F.size(w)
+    texts = F.array(F.concat(F.lit("("), "text", F.lit(")")), F.array_join(F.slice(w, F.lit(1), F.greatest(size - 5, F.lit(0))), " "), F.array_join(F.reverse(w), " "), F.array_join(F.slice(w, F.lit(1), F.floor(size / 2).cast("int")), " "))
+    own = _read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(texts).alias("k", "prompt_text"))
+    return own.select((F.col("item_id") * 4 + F.col("k")).alias("ordinal"), F.concat_ws("-", "item_id", "k").alias("prompt_id"), F.lit("").alias("pair_id"), "prompt_text")
+
+
 @_query()
 def q30_prompt_overlap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best labelled overlap of each benchmark item with the others, by exact character ratio, tokens and n-grams."""
+    """Best labelled benchmark item of each altered one, by exact character ratio, tokens and n-grams."""
     b = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ordinal"), F.col("item_id").cast("string").alias("prompt_id"), F.lit("").alias("pair_id"), F.col("text").alias("prompt_text"))
-    own = overlap.prepared(b, "ordinal")
-    return overlap.internal(own, (0.60, 0.55, 0.30))
+    return overlap.audit(overlap.prepared(_variants(spark, sf_dir), "ordinal"), overlap.prepared(b, "ordinal"))
+
+
+@_query(r"""
+WITH v AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark),
+x AS (SELECT item_id * 4 AS o, '(' || text || ')' AS s FROM v UNION ALL SELECT item_id * 4 + 1, array_to_string(w[1 : greatest(len(w) - 5, 0)], ' ') FROM v
+  UNION ALL SELECT item_id * 4 + 2, array_to_string(list_reverse(w), ' ') FROM v UNION ALL SELECT item_id * 4 + 3, array_to_string(w[1 : len(w) // 2], ' ') FROM v),
+n AS (SELECT o, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM x),
+k AS (SELECT o, s, list_filter(string_split(s, ' '), lambda x: x <> '' AND x NOT IN ('a','an','and','are','as','at','be','by','for','from','has','have','he','her','his','in','is','it','of','on','or','she','that','the','their','they','to','with')) AS c FROM n),
+f AS (SELECT o, s, list_distinct(list_filter(c, lambda x: length(x) > 2)) AS t, list_distinct(list_transform(range(1, len(c) - 3), lambda i: array_to_string(c[i : i + 4], ' '))) AS g FROM k),
+p AS (SELECT a.o AS candidate_ordinal, b.o AS reference_ordinal, a.s <> '' AND a.s = b.s AS exact,
+  CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END AS t,
+  CASE WHEN len(a.g) + len(b.g) = 0 THEN 1.0 ELSE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) END AS g FROM f a JOIN f b ON a.o < b.o),
+l AS (SELECT *, CASE WHEN exact THEN 'exact_normalized' ELSE concat_ws('+', CASE WHEN t >= 0.55 THEN 'high_token_overlap' END, CASE WHEN g >= 0.3 THEN 'high_ngram_overlap' END) END AS overlap_type FROM p)
+SELECT candidate_ordinal, reference_ordinal, exact, round(t, 6) AS token_jaccard, round(g, 6) AS ngram_jaccard, overlap_type FROM l WHERE overlap_type <> ''
+""")
+def q83_internal_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled pairs of altered items by tokens and n-grams, met by prefixes of their rarest elements."""
+    got = overlap.internal(overlap.prepared(_variants(spark, sf_dir), "ordinal"), (2.0, 0.55, 0.30))
+    return got.select("candidate_ordinal", "reference_ordinal", "exact", F.round("token_jaccard", 6).alias("token_jaccard"), F.round("ngram_jaccard", 6).alias("ngram_jaccard"), "overlap_type")
 
 
 @_query("""
