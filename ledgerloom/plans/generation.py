@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import slug_id
@@ -20,6 +20,10 @@ AXES = (
 BATCH_PARTS = ("plan", "alias", "cell_id", "split", "domain", "emotion", "risk_orientation", "realization_frame", "outcome_valence", "amount_bucket", "control_type", "contrast_role")
 
 
+#: A plan document; the values of cells stay JSON.
+_PLAN = "struct<name: string, default_count_per_cell_per_model: int, models: array<struct<alias: string, model: string>>, cells: array<map<string, string>>>"
+
+
 def _values(cell: dict[str, Any], many: str, one: str, default: str) -> list[str]:
     got = cell.get(many, str(cell.get(one, default)))
     got = [got] if isinstance(got, str) else got
@@ -41,6 +45,27 @@ def cells(spark: SparkSession, plan: dict[str, Any]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def cells_of(plans: DataFrame, content: str = "content") -> DataFrame:
+    """``cells`` of many plans, a JSON document in each row; a plan without models or cells raises.
+
+    An axis is a list, a text that stands for a list of one, or missing.
+    """
+    wrong = F.raise_error(F.concat(F.lit("a plan has models and cells, both non-empty lists: "), F.substring(content, 1, 100)))
+    own = plans.select(content, F.from_json(content, _PLAN).alias("p"))
+    own = own.select(F.when((F.size("p.models") > 0) & (F.size("p.cells") > 0), F.col("p")).otherwise(wrong.cast(_PLAN)).alias("p"))
+    own = own.select("p.name", F.coalesce("p.default_count_per_cell_per_model", F.lit(3)).alias("least"), "p.cells", F.posexplode("p.models").alias("m", "model"))
+    own = own.select("name", "least", "m", "model", F.posexplode("cells").alias("c", "cell"))
+    of = lambda key: F.try_element_at("cell", F.lit(key))  # noqa: E731  lists arrive as JSON texts
+    axes = [
+        F.when(of(many).isNull(), F.array(F.coalesce(of(one), F.lit(default)))).when(of(many).startswith("["), F.from_json(of(many), "array<string>")).otherwise(F.array(of(many))).alias(many)
+        for many, one, default in AXES
+    ]
+    return own.select(
+        F.coalesce("name", F.lit("openrouter_prompt_generation")).alias("plan"), "m", F.col("model.alias").alias("alias"), F.col("model.model").alias("model"), "c",
+        F.coalesce(of("cell_id"), F.lit("")).alias("cell_id"), F.coalesce(of("count_per_model").try_cast("int"), "least").alias("count"), *axes,
+    )
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``cells`` of a plan file in any store Spark reads."""
     return cells(spark, json.loads(spark.read.text(path, wholetext=True).first()[0]))
@@ -57,6 +82,26 @@ def jobs(plan_cells: DataFrame) -> DataFrame:
     return own.drop(*places)
 
 
+def first_jobs(plan_cells: DataFrame, count: int) -> DataFrame:
+    """The first ``count`` rows of ``jobs`` of one plan, by place, without the product of the axes.
+
+    Sizes of cells give each cell's share of the count; a job's number in its cell gives its value on every axis, the last axis running fastest.
+    """
+    size = F.lit(1).cast("long")
+    for many, _, _ in AXES:
+        size = size * F.size(many)
+    before = Window.orderBy("m", "c").rowsBetween(Window.unboundedPreceding, -1)  # a row for each model and cell of a plan
+    own = plan_cells.withColumn("_size", size).withColumn("_share", F.least(F.col("_size"), F.lit(count) - F.coalesce(F.sum("_size").over(before), F.lit(0))))
+    own = own.where("_share > 0").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_share") - 1)))
+    for many, one, _ in reversed(AXES):
+        at = F.pmod("_k", F.size(many)).cast("int")
+        own = own.withColumns({f"p_{one}": at, one: F.get(many, at)}).withColumn("_k", F.floor(F.col("_k") / F.size(many)))
+    places = ["m", "c", *(f"p_{one}" for _, one, _ in AXES)]
+    parts = [F.when(F.col(p) != "", slug_id(p)) for p in BATCH_PARTS]
+    own = own.withColumns({"batch_id": F.concat_ws("__", *parts), "place": F.struct(*places)})
+    return own.drop(*places, "_size", "_share", "_k", *(many for many, _, _ in AXES))
+
+
 def requests(job_rows: DataFrame, most: int) -> DataFrame:
     """Jobs cut into requests of at most ``most`` prompts; several get the suffixes part_001, part_002 ..."""
     if most <= 0:

@@ -17,15 +17,6 @@ from .plans import generation
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-PLAN = {
-    "name": "Proxy plan v1",
-    "models": [{"alias": "small", "model": "vendor/small"}, {"alias": "large", "model": "vendor/large"}],
-    "cells": [
-        {"cell_id": "c1", "count_per_model": 5, "domains": ["casino", "stocks", "real estate"], "splits": ["train", "val"], "realization_frames": ["paper", "realized"]},
-        {"cell_id": "c2", "domain": "casino", "outcome_valences": ["gain", "loss"], "contrast_roles": ["positive", "control"], "amount_buckets": ["low", "mid", "high"]},
-    ],
-}
-
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -517,22 +508,34 @@ def q36_sparsity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.sparsity(long, "vec_id", "x").withColumn("mean_active", F.round("mean_active", 6))
 
 
-@_query("""
-WITH m(alias, mi) AS (VALUES ('small', 0), ('large', 1)), d(d) AS (VALUES ('casino'), ('stocks'), ('real_estate')), s(s) AS (VALUES ('train'), ('val')), f(f) AS (VALUES ('paper'), ('realized')),
-o(o) AS (VALUES ('gain'), ('loss')), r(r) AS (VALUES ('positive'), ('control')), b(b) AS (VALUES ('low'), ('mid'), ('high')),
-j AS (SELECT 'proxy_plan_v1__' || alias || '__c1__' || s || '__' || d || '__none__neutral__' || f || '__none__none__positive' AS batch_id, 5 AS n FROM m, d, s, f
-  UNION ALL SELECT 'proxy_plan_v1__' || alias || '__c2__casino__none__neutral__none__' || o || '__' || b || '__none__' || r, 3 FROM m, o, b, r)
-SELECT batch_id || CASE WHEN n > 2 THEN '__part_00' || p ELSE '' END AS batch_id, CAST(least(2, n - (p - 1) * 2) AS INTEGER) AS request_count FROM j, range(1, 4) t(p) WHERE (p - 1) * 2 < n
-""")
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generation plan for each customer, as a JSON document: lists, single texts and defaults."""
+    k = F.col("c_custkey")
+    model = lambda x: F.struct(F.lit(x).alias("alias"), F.lit(f"vendor/{x}").alias("model"))
+    one = F.to_json(F.struct(F.lit("c1").alias("cell_id"), (1 + k % 5).alias("count_per_model"), F.array(F.lit("casino"), F.col("c_mktsegment")).alias("domains"), F.array(F.lit("paper"), F.lit("realized")).alias("realization_frames")))
+    two = F.to_json(F.struct(F.lit("c2").alias("cell_id"), F.lit("real estate").alias("domain"), F.array(F.lit("positive"), F.lit("control")).alias("contrast_roles"), F.lit("low").alias("amount_buckets")))
+    head = F.to_json(F.struct(F.concat(F.lit("Plan "), k.cast("string")).alias("name"), F.array(model("small"), model("large")).alias("models")))
+    return _read(spark, sf_dir, "customer").select(F.concat(F.rtrim(head, F.lit("}")), F.lit(', "cells": ['), one, F.lit(", "), two, F.lit("]}")).alias("content"))
+
+
+_PLANS = """
+WITH m AS (SELECT unnest(['small', 'large']) AS alias),
+j AS (SELECT 'plan_' || c_custkey || '__' || alias || '__c1__' || d || '__none__neutral__' || f || '__none__none__positive' AS batch_id, 1 + c_custkey % 5 AS n
+  FROM (SELECT c_custkey, unnest(['casino', lower(c_mktsegment)]) AS d FROM customer), m, (SELECT unnest(['paper', 'realized']) AS f)
+  UNION ALL SELECT 'plan_' || c_custkey || '__' || alias || '__c2__real_estate__none__neutral__none__none__low__none__' || r, 3 FROM customer, m, (SELECT unnest(['positive', 'control']) AS r))
+"""
+
+
+@_query(_PLANS + "SELECT batch_id || CASE WHEN n > 2 THEN '__part_00' || p ELSE '' END AS batch_id, CAST(least(2, n - (p - 1) * 2) AS INTEGER) AS request_count FROM j, range(1, 4) t(p) WHERE (p - 1) * 2 < n")
 def q37_plan_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs of a nested plan, cut into requests."""
-    return generation.requests(generation.jobs(generation.cells(spark, PLAN)), 2).select("batch_id", F.col("request_count").cast("int").alias("request_count"))
+    """Jobs of nested plans, one for each customer, cut into requests."""
+    return generation.requests(generation.jobs(generation.cells_of(_plans(spark, sf_dir))), 2).select("batch_id", F.col("request_count").cast("int").alias("request_count"))
 
 
-@_query("SELECT CAST(48 AS BIGINT) AS jobs, CAST(24 * 5 + 24 * 3 AS BIGINT) AS rows, CAST(24 * 3 + 24 * 2 AS BIGINT) AS requests")
+@_query(_PLANS + "SELECT count(*) AS jobs, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(ceil(n / 2)) AS BIGINT) AS requests FROM j")
 def q38_plan_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs, rows and requests of a plan."""
-    return generation.estimate(generation.jobs(generation.cells(spark, PLAN)), 2)
+    """Jobs, rows and requests of the customers' plans."""
+    return generation.estimate(generation.jobs(generation.cells_of(_plans(spark, sf_dir))), 2)
 
 
 @_query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import prompts, text
-from .operators import partitioning, regression, summaries, trials, vectors
+from .operators import formula, partitioning, regression, summaries, trials, vectors
 from .plans import generation
 from .queries import PRIORITIES, _query, _read
 from .report_queries import _trial_rows
@@ -237,3 +237,18 @@ def q82_activation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
     found = activations.validate(spark, run, _read(spark, sf_dir, "embeddings").where("vec_id > 0"), rows)
     return found.select("kind", "n", F.size("places").alias("shown"))
+
+
+@_query("""
+WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x, l_returnflag || l_linenumber AS a FROM lineitem),
+g AS (SELECT y, x, 'all' AS a, 'no_controls' AS analysis FROM d UNION ALL SELECT y, x, a, 'with_controls' FROM d),
+c AS (SELECT *, x - avg(x) OVER w AS u, y - avg(y) OVER w AS v, 1.0 / count(*) OVER w AS h0, y - avg(y) OVER (PARTITION BY analysis) AS t FROM g WINDOW w AS (PARTITION BY analysis, a)),
+b AS (SELECT analysis, sum(u * v) / sum(u * u) AS coef, sum(u * u) AS s, count(*) AS n, sum(t * t) AS total FROM c GROUP BY 1),
+e AS (SELECT c.analysis, u, v - coef * u AS e, h0 + u * u / s AS h, coef, s, n, total FROM c JOIN b USING (analysis))
+SELECT analysis, 'y' AS outcome, n, 'x' AS term, round(coef, 6) AS coef, round(sqrt(sum(u * u * e * e / ((1 - h) * (1 - h)))) / s, 6) AS se, round(1 - sum(e * e) / total, 6) AS r_squared FROM e GROUP BY analysis, n, coef, s, total
+""")
+def q84_formula_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models by formula without and with categorical controls, with HC3 errors."""
+    li = _read(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("x"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("a"))
+    got = formula.model_rows(spark, [("no_controls", li, "y ~ x", "x"), ("with_controls", li, "y ~ x + C(a)", "x")])
+    return got.select("analysis", "outcome", "n", "term", *[F.round(c, 6).alias(c) for c in ("coef", "se", "r_squared")])
