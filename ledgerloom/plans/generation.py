@@ -171,3 +171,45 @@ def decode_prompts(responses: DataFrame, content: str = "content") -> DataFrame:
     own = own.select(*responses.columns, F.posexplode("_j.prompts").alias("_i", "_p"))
     name = F.coalesce(F.nullif(F.trim("_p.variant_id"), F.lit("")), F.format_string("variant_%03d", F.col("_i") + 1))
     return own.select(*responses.columns, name.alias("variant_id"), F.col("_p.prompt_text").alias("prompt_text"))
+
+
+#: (list, id, id's default, texts) of the two forms of answers.
+FORMS = {
+    "prompts": ("variant_id", "variant_%03d", ("prompt_text",)),
+    "pairs": ("pair_id", "pair_%03d", ("paper_open_prompt_text", "realized_closed_prompt_text")),
+}
+
+
+def answer_content(response: Column | str) -> Column:
+    """The text of a chat response's first choice, or its parts' texts put together; null if there is none."""
+    v = F.try_parse_json(response)
+    content = "$.choices[0].message.content"
+    parts = F.transform(F.try_variant_get(v, content, "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
+    listed = F.schema_of_variant(F.try_variant_get(v, content, "variant")).startswith("ARRAY")
+    return F.when(listed, F.array_join(parts, "")).otherwise(F.try_variant_get(v, content, "string"))
+
+
+def decode_answers(responses: DataFrame, content: str = "content", form: str = "prompts") -> DataFrame:
+    """Rows of the prompts or pairs in free answers: the responses' columns, ``at`` (from 1), the id, the texts, notes and ``error``.
+
+    JSON may stand in a fenced block. An answer that is no JSON, has no such list, or an item that is no object or lacks a text, is one
+    row with its reason in ``error`` and nulls. Missing or blank ids are numbered.
+    """
+    key, default, texts = FORMS[form]
+    fenced = F.regexp_extract(content, r"(?s)```(?:[A-Za-z]*)\s*\n(.*?)```", 1)
+    own = responses.withColumn("_v", F.try_parse_json(F.when(fenced != "", fenced).otherwise(F.col(content))))
+    own = own.withColumn("_items", F.try_variant_get("_v", f"$.{form}", "array<variant>"))
+    field = lambda p, name: F.trim(F.coalesce(F.try_variant_get(p, f"$.{name}", "string"), F.lit("")))
+    item = lambda p: F.struct(F.schema_of_variant(p).startswith("OBJECT").alias("object"), *[field(p, name).alias(name) for name in (key, *texts, "notes")])
+    own = own.withColumn("_items", F.transform("_items", item))
+    lacking = F.lit(False)
+    for t in texts:
+        lacking = lacking | F.array_contains(F.col("_items")[t], "")
+    error = F.when(F.col(content).isNull(), "no_content").when(F.col("_v").isNull(), "no_json").when(F.col("_items").isNull(), "no_list")
+    error = error.when(F.array_contains(F.col("_items")["object"], False), "no_object").when(lacking, "empty_text")
+    own = own.withColumn("error", error)
+    shown = F.when(F.col("error").isNull(), F.col("_items")).otherwise(F.array(F.lit(None).cast(own.schema["_items"].dataType.elementType)))
+    rows = own.select(*responses.columns, "error", F.posexplode(shown).alias("_i", "_p"))
+    number = F.when(F.col("error").isNull(), F.col("_i") + 1)
+    name = F.when(F.col("error").isNull(), F.coalesce(F.nullif(F.col(f"_p.{key}"), F.lit("")), F.format_string(default, F.col("_i") + 1)))
+    return rows.select(*responses.columns, number.alias("at"), name.alias(key), *[F.col(f"_p.{t}").alias(t) for t in (*texts, "notes")], "error")

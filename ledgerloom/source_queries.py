@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import prompts, text
-from .operators import formula, partitioning, regression, summaries, trials, vectors
+from .operators import formula, orders, partitioning, ranks, regression, summaries, trials, vectors
 from .plans import generation
 from .queries import PRIORITIES, _query, _read
 from .report_queries import _trial_rows
-from .sources import activations, scratch, sinks, tables
+from .sources import activations, commits, scratch, sinks, tables
 from .streaming import progress as stream
 
 
@@ -180,15 +180,15 @@ def q79_attached_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT 'model-' || o_orderstatus AS model, '1' AS temperature, 'absolute' AS prompt_version, o_orderpriority AS condition, count(*) AS n_rows, count(DISTINCT o_custkey) FILTER (WHERE o_custkey > 0) AS runs FROM orders GROUP BY ALL
+SELECT 'model-' || o_orderstatus AS model, '1' AS temperature, 'absolute' AS prompt_version, o_orderpriority AS condition, count(*) AS n_rows, count(DISTINCT o_custkey) FILTER (WHERE o_custkey > 0) AS runs, true AS active FROM orders GROUP BY ALL
 """)
 def q80_streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block files, one for each block, counted as a stream that ends when all are read (S8, K4, streaming progress)."""
+    """Block files, one for each block, counted as a stream that ends when all are read; runs are bitmaps (S8, K4, A9, streaming progress)."""
     base = scratch.folder(spark, "stream")
     sinks.write_blocks(_trial_rows(spark, sf_dir), f"{base}/blocks")
     query = stream.start(stream.counts(stream.block_stream(spark, f"{base}/blocks")), lambda df, _: df.write.mode("overwrite").parquet(f"{base}/counts"), f"{base}/checkpoint", once=True)
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/counts")
+    return stream.totals(spark.read.parquet(f"{base}/counts"), 86_400)
 
 
 def _activation_run(spark: SparkSession, sf_dir: str) -> str:
@@ -252,3 +252,63 @@ def q84_formula_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("x"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("a"))
     got = formula.model_rows(spark, [("no_controls", li, "y ~ x", "x"), ("with_controls", li, "y ~ x + C(a)", "x")])
     return got.select("analysis", "outcome", "n", "term", *[F.round(c, 6).alias(c) for c in ("coef", "se", "r_squared")])
+
+
+_ORDER_SEED = 7
+
+
+@_query(f"""
+WITH RECURSIVE n AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM orders), d AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM n),
+x0 AS (SELECT x, x % a AS l, x // a AS h, a, b, n FROM (SELECT n, a, b, unnest(range(0, a * b)) AS x FROM d)),
+x1 AS (SELECT x, (l + CAST('0x' || substr(md5('{_ORDER_SEED}:0:' || h), 1, 8) AS BIGINT) % a) % a AS l, h, a, b, n FROM x0),
+x2 AS (SELECT x, l, (h + CAST('0x' || substr(md5('{_ORDER_SEED}:1:' || l), 1, 8) AS BIGINT) % b) % b AS h, a, b, n FROM x1),
+x3 AS (SELECT x, (l + CAST('0x' || substr(md5('{_ORDER_SEED}:2:' || h), 1, 8) AS BIGINT) % a) % a AS l, h, a, b, n FROM x2),
+x4 AS (SELECT x, l + a * ((h + CAST('0x' || substr(md5('{_ORDER_SEED}:3:' || l), 1, 8) AS BIGINT) % b) % b) AS y, n FROM x3),
+w AS (SELECT x, y, n FROM x4 WHERE x < n UNION ALL SELECT w.x, x4.y, w.n FROM w JOIN x4 ON w.y = x4.x WHERE w.y >= w.n),
+o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS x FROM orders)
+SELECT o_orderkey, y AS place FROM o JOIN w USING (x) WHERE y < n
+""")
+def q85_seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trial plan in a seeded order: a keyed bijection of row numbers, without a sort."""
+    o = ranks.numbered(_read(spark, sf_dir, "orders").select("o_orderkey"), [F.col("o_orderkey")], "i", 0)
+    return orders.shuffled(o, "i", _ORDER_SEED).select("o_orderkey", "place")
+
+
+@_query("""
+SELECT t, model, count(*) AS n_rows, count(DISTINCT id) AS ids FROM (
+  SELECT unnest(['merged', 'grouped']) AS t, 'model-' || o_orderstatus AS model, o_orderpriority || o_custkey AS id FROM (SELECT DISTINCT o_orderstatus, o_orderpriority, o_custkey FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 2 = 0)
+) GROUP BY ALL
+""")
+def q86_committed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of block rows merged into a table and its grouped copy, both in one commit (A5, K3)."""
+    own = _trial_rows(spark, sf_dir).withColumn("request_id", F.lit(""))
+    key = F.col("trial_id").cast("long")
+    rows = own.withColumns({"_file": F.lit(1), "_row": key}).where((F.col("model") != "model-P") | (key % 2 == 0))
+    folder = scratch.folder(spark, "committed")
+    commits.reconcile(rows.where("model <> 'model-F'"), folder)
+    commits.reconcile(rows.where("model = 'model-F'"), folder)
+    both = [commits.current(spark, folder, t).withColumn("t", F.lit(t)) for t in ("merged", "grouped")]
+    return both[0].unionByName(both[1]).groupBy("t", "model").agg(F.count("*").alias("n_rows"), F.countDistinct(F.concat("condition", "run_number")).alias("ids"))
+
+
+@_query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'no_json' WHEN 2 THEN 'no_list' WHEN 3 THEN 'empty_text' END AS error,
+  CASE WHEN o_orderkey % 5 IN (0, 4) THEN CAST(i AS INTEGER) ELSE 0 END AS "at", CASE WHEN o_orderkey % 5 IN (0, 4) THEN CASE i WHEN 1 THEN 'p-' || o_orderstatus ELSE 'pair_002' END END AS pair_id,
+  CASE WHEN o_orderkey % 5 IN (0, 4) THEN CASE i WHEN 1 THEN 'open ' || o_orderpriority ELSE 'more' END END AS paper_open_prompt_text,
+  CASE WHEN o_orderkey % 5 IN (0, 4) THEN CASE i WHEN 1 THEN 'closed "x"' ELSE 'end' END END AS realized_closed_prompt_text
+FROM orders, range(1, 3) t(i) WHERE i = 1 OR o_orderkey % 5 IN (0, 4)
+""")
+def q87_decoded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs out of chat responses: nested or in parts, fenced or not, with a reason for each that gives none."""
+    o = _read(spark, sf_dir, "orders")
+    text = lambda x: F.lit(x)
+    one = F.struct(F.concat(text("p-"), "o_orderstatus").alias("pair_id"), F.concat(text(" open "), "o_orderpriority").alias("paper_open_prompt_text"), text('closed "x"').alias("realized_closed_prompt_text"))
+    two = F.struct(text("  ").alias("pair_id"), text("more").alias("paper_open_prompt_text"), F.when(F.col("o_orderkey") % 5 == 3, " ").otherwise("end").alias("realized_closed_prompt_text"))
+    pairs = F.to_json(F.struct(F.array(one, two).alias("pairs")))
+    answer = F.when(F.col("o_orderkey") % 5 == 1, "sorry, no").when(F.col("o_orderkey") % 5 == 2, '{"prompts": []}').when(F.col("o_orderkey") % 5 == 4, F.concat(text("Here:\n```json\n"), pairs, text("\n```\n"))).otherwise(pairs)
+    part = lambda x: F.struct(text("text").alias("type"), x.alias("text"))
+    whole = F.to_json(F.struct(F.array(F.struct(F.struct(answer.alias("content")).alias("message"))).alias("choices")))
+    cut = F.array(part(F.substring(answer, 1, 5)), part(F.substring(answer, F.lit(6), F.length(answer))))
+    parts = F.to_json(F.struct(F.array(F.struct(F.struct(cut.alias("content")).alias("message"))).alias("choices")))
+    own = o.select("o_orderkey", generation.answer_content(F.when(F.col("o_orderkey") % 2 == 0, whole).otherwise(parts)).alias("content"))
+    return generation.decode_answers(own, "content", "pairs").drop("content", "notes").withColumn("at", F.coalesce("at", F.lit(0)))
