@@ -87,17 +87,47 @@ def normalization(df: DataFrame, vector: str, eps: float = 1e-6) -> DataFrame:
     return center.join(F.broadcast(scale), F.lit(True)).withColumn("scale", F.when(F.col("scale") > eps, F.col("scale")).otherwise(1.0))
 
 
-def effects(long: DataFrame, key: str, feature: str, x: str, groups: DataFrame, least: int = 2, top: int | None = None) -> DataFrame:
+def _sums(df: DataFrame, group: list[str], vector: str) -> DataFrame:
+    """(group, feature, n, s, q): number, sum and sum of squares of each element; each task passes on one row a group and element it has seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k in sums], pa.string()) for i in range(len(group))]
+            parts = [pa.array([v[j].tolist() for v in sums.values()], pa.list_(pa.float64())) for j in range(3)]
+            return pa.RecordBatch.from_arrays([*keys, *parts], names=[*group, "n", "s", "q"])
+
+        for b in batches:
+            names = list(zip(*(b.column(i).to_pylist() for i in range(len(group))), strict=True)) if group else [()] * b.num_rows
+            for key, v in zip(names, b.column(len(group)), strict=True):
+                if v.is_valid:
+                    x = np.asarray(v.values.to_numpy(zero_copy_only=False), float)
+                    own = np.stack([np.ones(len(x)), x, x * x])
+                    sums[key] = sums[key] + own if key in sums else own
+            if len(sums) > 20_000:  # groups beyond are merged after the shuffle
+                yield rows()
+                sums.clear()
+        if sums:
+            yield rows()
+
+    schema = ", ".join([*(f"{g} string" for g in group), "n array<double>", "s array<double>", "q array<double>"])
+    part = df.select(*group, vector).mapInArrow(run, schema)
+    each = part.select(*group, F.posexplode(F.arrays_zip("n", "s", "q")).alias("feature", "x"))
+    return each.groupBy(*group, "feature").agg(F.sum("x.n").cast("long").alias("n"), F.sum("x.s").alias("s"), F.sum("x.q").alias("q"))
+
+
+def effects(df: DataFrame, key: str, vector: str, groups: DataFrame, least: int = 2, top: int | None = None) -> DataFrame:
     """Standardised one-versus-rest effects: (field, value, feature, group_count, rest_count, means, difference, effect_size[, rank]).
 
-    long: (key, feature, x), every pair present; groups: (key, field, value), at most one value of a field for a key. The
-    rest is the total less the group, so no row is read for each other group.
+    df: (key, vector), vectors of one length, a feature is a place in them; groups: (key, field, value), at most one value of a
+    field for a key. The rest is the total less the group, so no row is read for each other group, and vectors
+    meet their groups whole: what is shuffled after that are sums.
     """
-    base = long.select(key, F.col(feature).alias("feature"), F.col(x).cast("double").alias("x"))
-    sums = lambda p: [F.count("*").alias(f"{p}n"), F.sum("x").alias(f"{p}s"), F.sum(F.col("x") * F.col("x")).alias(f"{p}q")]
-    total = base.groupBy("feature").agg(*sums("t"))
-    inside = base.join(groups.where("value <> ''"), key).groupBy("field", "value", "feature").agg(*sums("g"))
-    own = inside.join(total, "feature").withColumns({"rn": F.col("tn") - F.col("gn"), "rs": F.col("ts") - F.col("gs"), "rq": F.col("tq") - F.col("gq")})
+    total = _sums(df, [], vector).select("feature", F.col("n").alias("tn"), F.col("s").alias("ts"), F.col("q").alias("tq"))
+    inside = _sums(df.select(key, vector).join(groups.where("value <> ''").select(key, "field", "value"), key), ["field", "value"], vector)
+    inside = inside.select("field", "value", "feature", F.col("n").alias("gn"), F.col("s").alias("gs"), F.col("q").alias("gq"))
+    own = inside.join(F.broadcast(total), "feature").withColumns({"rn": F.col("tn") - F.col("gn"), "rs": F.col("ts") - F.col("gs"), "rq": F.col("tq") - F.col("gq")})  # as many rows as features
     own = own.where((F.col("gn") >= least) & (F.col("rn") >= least))
     m1, m2 = F.col("gs") / F.col("gn"), F.col("rs") / F.col("rn")
     var = lambda q, n, m: F.greatest(F.col(q) / F.col(n) - m * m, F.lit(0.0))
@@ -115,10 +145,12 @@ def best_effects(associations: DataFrame) -> DataFrame:
     return associations.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def top_examples(long: DataFrame, key: str, feature: str, x: str, associations: DataFrame, features: int = 25, examples: int = 5) -> DataFrame:
-    """The ``examples`` largest activations of the first ``features`` distinct features by effect size."""
+def top_examples(df: DataFrame, key: str, vector: str, associations: DataFrame, features: int = 25, examples: int = 5) -> DataFrame:
+    """The ``examples`` largest activations of the first ``features`` distinct features by effect size; only those elements leave the vectors."""
     first = associations.groupBy("feature").agg(F.max(F.abs("effect_size")).alias("e")).orderBy(F.desc("e"), "feature").limit(features)
-    own = long.select(key, F.col(feature).alias("feature"), F.col(x).alias("activation")).join(F.broadcast(first.select("feature")), "feature")
+    picked = [r["feature"] for r in first.collect()]
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.get(vector, F.lit(f)).alias("activation")) for f in picked])) if picked else F.explode(F.array().cast("array<struct<feature:int,activation:double>>"))
+    own = df.select(key, each.alias("x")).select(key, "x.feature", "x.activation").where("activation is not null")
     w = Window.partitionBy("feature").orderBy(F.desc("activation"), key)
     return own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= examples)
 

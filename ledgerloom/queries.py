@@ -316,14 +316,30 @@ def q23_ols_fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.coefficient_table(spark, f)
 
 
-@_query()
+#: Two-sided p of a normal value by the series of the error function, and of F(1, n) by a normal value of the same tail.
+_P = "1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * exp((2 * k + 1) * ln(greatest({0}, 1e-12) / sqrt(2)) - lgamma(k + 1)) / (2 * k + 1)))"
+
+
+@_query(f"""
+WITH g AS (SELECT o_orderstatus AS s, o_orderpriority AS c, count(*) AS n, avg(ln(o_totalprice)) AS m, var_pop(ln(o_totalprice)) AS v FROM orders GROUP BY 1, 2),
+w AS (SELECT s, c, m, v / (n * (1 - 1.0 / n) * (1 - 1.0 / n)) AS v, sum(n) OVER (PARTITION BY s) - 5 AS df FROM g),
+t AS (SELECT h, kind, sign, a.c || CASE WHEN kind = 'diff' THEN ' - ' || b.c ELSE '' END AS term, a.m - b.m AS estimate, a.v + b.v AS v, a.df
+  FROM (VALUES ('H1a', 'coef', 1, 'F', '2-HIGH', '1-URGENT'), ('H1b', 'diff', 1, 'F', '3-MEDIUM', '2-HIGH'), ('H3a', 'coef', -1, 'O', '5-LOW', '1-URGENT'), ('H4', 'none', 0, 'O', '4-NOT SPECIFIED', '1-URGENT')) x(h, kind, sign, s, ca, cb)
+  JOIN w a ON a.s = x.s AND a.c = ca JOIN w b ON b.s = x.s AND b.c = cb),
+z AS (SELECT *, CASE WHEN kind = 'diff' THEN estimate * estimate / v ELSE estimate / sqrt(v) END AS statistic, abs(estimate) / sqrt(v) AS z FROM t),
+q AS (SELECT *, CASE WHEN kind = 'diff' THEN z * (1 - 1.0 / (4 * df)) / sqrt(1 + z * z / (2 * df)) ELSE z END AS y FROM z), p2 AS (SELECT *, {_P.format("y")} AS p2 FROM q),
+p AS (SELECT *, CASE WHEN sign = 0 THEN p2 WHEN sign * estimate > 0 THEN p2 / 2 ELSE 1 - p2 / 2 END AS p FROM p2)
+SELECT h AS hypothesis, term, round(estimate, 8) AS estimate, round(statistic, 6) AS statistic, round(p, 5) AS p,
+  CASE WHEN kind = 'none' THEN CASE WHEN p >= 0.1 THEN 'SUPPORTED' ELSE 'REJECTED' END WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' ELSE '' END AS verdict FROM p
+""")
 def q24_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A battery of one-sided, difference and two-sided tests."""
+    """A battery of one-sided, difference and two-sided tests."""
     o = _read(spark, sf_dir, "orders").withColumn("y", F.ln("o_totalprice"))
     fits = regression.fit_by(o.where("o_orderstatus in ('F', 'O')"), "o_orderstatus", "y", "o_orderpriority", list(PRIORITIES), PRIORITIES[0], [])
     battery = (("H1a", "coef", ("2-HIGH",), "positive"), ("H1b", "diff", ("3-MEDIUM", "2-HIGH"), "positive"), ("H3a", "coef", ("5-LOW",), "negative"), ("H4", "none", ("4-NOT SPECIFIED",), "two-sided"))
     rows = regression.hypotheses(fits.get("F"), fits.get("O"), battery)
-    return spark.createDataFrame(rows, "hypothesis string, term string, estimate double, statistic double, p double, verdict string")
+    got = spark.createDataFrame(rows, "hypothesis string, term string, estimate double, statistic double, p double, verdict string")
+    return got.withColumns({"estimate": F.round("estimate", 8), "statistic": F.round("statistic", 6), "p": F.round("p", 5)})
 
 
 @_query("""
@@ -472,9 +488,8 @@ e AS (SELECT CAST(label AS VARCHAR) AS value, CAST(f - 1 AS INTEGER) AS feature,
 
 def _effects(spark: SparkSession, sf_dir: str, top: int | None) -> tuple[DataFrame, DataFrame]:
     e = _read(spark, sf_dir, "embeddings")
-    long = e.select("vec_id", F.posexplode("embedding").alias("feature", "x"))
     groups = e.select("vec_id", F.lit("label").alias("field"), F.col("label").cast("string").alias("value"))
-    return long, vectors.effects(long, "vec_id", "feature", "x", groups, 2, top)
+    return e, vectors.effects(e, "vec_id", "embedding", groups, 2, top)
 
 
 @_query(_EFFECT + "SELECT 'label' AS field, value, feature, CAST(n AS BIGINT) AS group_count, CAST(rn AS BIGINT) AS rest_count, round(effect, 6) AS effect_size, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY effect DESC, feature) AS k FROM e) WHERE k <= 10")
@@ -494,8 +509,8 @@ k AS (SELECT vec_id, f - 1 AS feature, v, row_number() OVER (PARTITION BY f ORDE
 SELECT CAST(feature AS INTEGER) AS feature, vec_id, round(v, 5) AS activation, CAST(k AS INTEGER) AS rank FROM k WHERE k <= 3""")
 def q35_top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest examples of the features with the largest effects."""
-    long, found = _effects(spark, sf_dir, None)
-    return vectors.top_examples(long, "vec_id", "feature", "x", found, 5, 3).select("feature", "vec_id", _r("activation", 5), "rank")
+    e, found = _effects(spark, sf_dir, None)
+    return vectors.top_examples(e, "vec_id", "embedding", found, 5, 3).select("feature", "vec_id", _r("activation", 5), "rank")
 
 
 @_query("""

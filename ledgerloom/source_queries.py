@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import prompts, text
-from .operators import formula, orders, partitioning, ranks, regression, summaries, trials, vectors
+from .functions import prompts, rewrites, text
+from .operators import checks, formula, orders, partitioning, ranks, regression, summaries, trials, vectors
 from .plans import generation
 from .queries import PRIORITIES, _query, _read
 from .report_queries import _trial_rows
@@ -312,3 +312,45 @@ def q87_decoded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.to_json(F.struct(F.array(F.struct(F.struct(cut.alias("content")).alias("message"))).alias("choices")))
     own = o.select("o_orderkey", generation.answer_content(F.when(F.col("o_orderkey") % 2 == 0, whole).otherwise(parts)).alias("content"))
     return generation.decode_answers(own, "content", "pairs").drop("content", "notes").withColumn("at", F.coalesce("at", F.lit(0)))
+
+
+_CLASSIFIED = r"E'\n\nTask: Determine whether the described outcome is already realized (cashed out or position closed) or still paper (open/unrealized).\nAnswer now.\nReturn exactly one label: REALIZED or PAPER.\nLabel:'"
+
+
+@_query(rf"""
+WITH e AS (SELECT event_id, event_id % 5 AS m, E'Read the following short scenario.\n\nScenario:\nA ' || event_type || ' in session ' || user_id || ' stays open' AS base, {_CLASSIFIED} AS c, E'\n\nDo not answer yet. Continue processing the scenario.' AS s FROM events),
+x AS (SELECT *, CASE m WHEN 0 THEN base || s WHEN 1 THEN base || E'\n\nAnswer now.\nReturn.' WHEN 2 THEN base || c || E'\n' WHEN 3 THEN base || ' answer with exactly two integers on separate lines: a, b.' || s ELSE base || E'\n\n\n\nend' || s END AS x FROM e),
+k AS (SELECT *, CASE WHEN suffix(x, s) THEN rtrim(substr(x, 1, length(x) - length(s)), E' \n') ELSE x END AS cut,
+  CASE m WHEN 2 THEN base || E'\n\nTask: Determine whether the described outcome is already realized (cashed out or position closed) or still paper (open/unrealized).' WHEN 4 THEN base || E'\n\nend' ELSE base END AS own FROM x)
+SELECT event_id, sha256(cut || E'\n\nAnswer now. Return only the two requested integers on separate lines, with no labels and no explanation.\n') AS two_line, sha256(cut || E'\n\nAnswer now.\n') AS plain, sha256(cut || E'\n\nAnswer:\n') AS scoring,
+  sha256(own || c || E'\n') AS classification, sha256(CASE WHEN m = 2 THEN base || c ELSE own || c END) AS kept FROM k
+""")
+def q88_prompt_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with other endings made into prompts for generation, scoring and classification."""
+    m = F.col("event_id") % 5
+    base = F.concat(F.lit(text.PROMPT_PREFIX), F.lit("A "), "event_type", F.lit(" in session "), F.col("user_id").cast("string"), F.lit(" stays open"))
+    shown = F.when(m == 0, F.concat("b", F.lit(text.PROMPT_SUFFIX))).when(m == 1, F.concat("b", F.lit("\n\nAnswer now.\nReturn."))).when(m == 2, rewrites.classification(F.col("b")))
+    shown = shown.when(m == 3, F.concat("b", F.lit(" answer with exactly two integers on separate lines: a, b."), F.lit(text.PROMPT_SUFFIX))).otherwise(F.concat("b", F.lit("\n\n\n\nend"), F.lit(text.PROMPT_SUFFIX)))
+    own = _read(spark, sf_dir, "events").select("event_id", m.alias("m"), base.alias("b")).select("event_id", shown.alias("x"))
+    x = F.col("x")
+    new = {"two_line": rewrites.generation(x), "plain": rewrites.generation(x, "plain"), "scoring": rewrites.scoring(x), "classification": rewrites.classification(x), "kept": rewrites.classification(x, True)}
+    return own.select("event_id", *[F.sha2(v, 256).alias(k) for k, v in new.items()])
+
+
+@_query("""
+WITH r AS (SELECT o_orderkey AS k, o_custkey AS pair, CASE o_orderstatus WHEN 'O' THEN 'paper_open' WHEN 'F' THEN 'realized_closed' ELSE 'other' END AS role, o_orderpriority AS domain, 2 + o_orderkey % 40 AS words FROM orders),
+g AS (SELECT pair, count(*) AS n, count(DISTINCT role) FILTER (WHERE role <> 'other') AS roles, count(DISTINCT domain) AS domains, max(words) - min(words) AS delta FROM r GROUP BY 1)
+SELECT pair_id, issue, count(*) AS n FROM (
+  SELECT CAST(pair AS VARCHAR) AS pair_id, unnest(CASE WHEN n <> 2 OR roles <> 2 THEN ['bad_pair_roles'] WHEN domains > 1 AND delta > 25 THEN ['pair_metadata_mismatch', 'pair_word_delta'] WHEN domains > 1 THEN ['pair_metadata_mismatch'] WHEN delta > 25 THEN ['pair_word_delta'] ELSE [] END) AS issue FROM r JOIN g USING (pair)
+  UNION ALL SELECT CAST(pair AS VARCHAR), 'missing_behavior_instruction' FROM r UNION ALL SELECT '', 'duplicate_prompt_id' FROM (SELECT 1 FROM r GROUP BY k // 3 HAVING count(*) > 1)
+) GROUP BY ALL
+""")
+def q89_pair_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of prompts, repeated ids and pairs: roles, shared fields and lengths."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    story = F.array_join(F.array_repeat(F.lit("word"), (2 + k % 40).cast("int")), " ")
+    rows = _read(spark, sf_dir, "orders").select(
+        F.floor(k / 3).cast("string").alias("prompt_id"), F.concat(F.lit(text.PROMPT_PREFIX), story, F.lit(text.PROMPT_SUFFIX)).alias("prompt_text"), F.col("o_custkey").cast("string").alias("pair_id"),
+        F.when(status == "O", "paper_open").when(status == "F", "realized_closed").otherwise("other").alias("pair_role"), F.col("o_orderpriority").alias("domain"), *[F.lit("").alias(c) for c in ("outcome_valence", "amount_bucket", "source_llm")],
+    )
+    return checks.prompt_issues(rows).groupBy("pair_id", "issue").agg(F.count("*").alias("n"))

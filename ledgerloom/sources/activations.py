@@ -17,10 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from ..operators.checks import counted, violations
+
 MANIFEST = "manifest.json"
 SCHEMA = (
     "shard int, layer int, tensor_file string, index_file string, batch_row int, token_index int, prompt_id string, activation_site string, token_mode string, "
@@ -376,20 +378,6 @@ def index_rows(spark: SparkSession, run: str, found: DataFrame) -> DataFrame:
     return lines.select("shard", (F.col("at") + 1).alias("batch_row"), F.from_json("line", _INDEX).alias("r")).select("shard", "batch_row", "r.*")
 
 
-def violations(df: DataFrame, checks: dict[str, Column], place: Column) -> DataFrame:
-    """(kind, place): a row for each check that a row of ``df`` fails."""
-    failed = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))
-    return df.select(F.explode(failed).alias("kind"), place.cast("string").alias("place"))
-
-
-def counted(found: DataFrame, sample: int = 25) -> DataFrame:
-    """(kind, n, places): violations of each kind, and the first ``sample`` places by name. Tasks pass on ``sample`` rows a kind."""
-    sizes = found.groupBy("kind").agg(F.count("*").alias("n"))
-    first = found.withColumn("_i", F.row_number().over(Window.partitionBy("kind").orderBy("place"))).where(F.col("_i") <= sample)
-    shown = first.groupBy("kind").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return sizes.join(shown, "kind")
-
-
 def validate(spark: SparkSession, run: str, prompts: DataFrame, rows: DataFrame | None = None, sample: int = 25) -> DataFrame:
     """(kind, n, places) of 17 kinds of error in a run, all found in one pass over headers and one over index rows.
 

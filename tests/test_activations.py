@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import checks
 from ledgerloom.operators import vectors as ops
 from ledgerloom.sources import activations
 
@@ -130,7 +131,7 @@ def test_each_kind_of_violation(spark, run, tmp_path):
 
 def test_sample_of_places_is_bounded(spark):
     df = spark.range(1000)
-    got = activations.counted(activations.violations(df, {"even": F.col("id") % 2 == 0, "never": F.col("id") < 0}, F.format_string("%04d", "id")), 3).collect()
+    got = checks.counted(checks.violations(df, {"even": F.col("id") % 2 == 0, "never": F.col("id") < 0}, F.format_string("%04d", "id")), 3).collect()
     assert [tuple(r) for r in got] == [("even", 500, ["0000", "0002", "0004"])]
 
 
