@@ -37,13 +37,16 @@ def of_block(df: DataFrame, model: str | None = None, temperature: str | float |
 def regression_frame(trials: DataFrame, measure: str, model: str | None = None, version: str | None = None, valid: str = "valid") -> DataFrame:
     """Valid trials with a finite measure, of one model and prompt version if asked for; the measure becomes a double.
 
-    Raises if a column is missing; an empty frame is the caller's to refuse.
+    Raises if a column is missing or no row is left.
     """
-    if missing := [c for c in ("condition", "model", "prompt_version", valid, measure) if c not in trials.columns]:
+    if missing := [c for c in ("condition", "outcome_type", "model", "temperature", "prompt_version", "parsed_wager", valid, measure) if c not in trials.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     own = trials.where(coerce.true_exact(valid)).withColumn(measure, finite(coerce.number(measure))).dropna(subset=[measure])
     own = own if model is None else own.where(F.col("model") == model)
-    return own if version is None else own.where(F.col("prompt_version") == version)
+    own = own if version is None else own.where(F.col("prompt_version") == version)
+    if own.isEmpty():
+        raise ValueError("no valid rows are left")
+    return own
 
 
 def finite(x: Column | str) -> Column:

@@ -146,6 +146,14 @@ def steered(vector: str, direction: str, scale: float) -> Column:
     return F.zip_with(vector, direction, lambda h, d: h + F.lit(scale) * d)
 
 
+def steered_tokens(tokens: str, direction: str, scale: float, positions: str = "all") -> Column:
+    """The vectors of a prompt's tokens moved along a direction: all of them, or the last one only."""
+    if positions not in ("all", "last"):
+        raise ValueError("positions is all or last")
+    moved = lambda h: F.zip_with(h, direction, lambda x, d: x + F.lit(scale) * d)
+    return F.transform(tokens, lambda h, i: moved(h) if positions == "all" else F.when(i == F.size(tokens) - 1, moved(h)).otherwise(h))
+
+
 def robustness(df: DataFrame, valid: str, measure: str, condition: str) -> DataFrame:
     """(model, level, temperature, prompt_version, n_rows, n_valid, n_conditions, mean) by version, and by temperature within it, in one pass.
 

@@ -594,19 +594,22 @@ def q41_block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""
 WITH c AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'paper' ELSE 'realized' END AS kind, (n_nationkey - 12) * 30 AS a FROM nation)
 SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, v AS version, CASE
+  WHEN v = 'qualitative' AND kind = 'paper' THEN 'So far during this visit you ' || CASE WHEN a >= 81 THEN 'have won a substantial amount.' WHEN a >= 1 THEN 'have won a modest amount.' WHEN a = 0 THEN 'are exactly even and have neither won nor lost.'
+    WHEN a >= -96 THEN 'have lost a small amount.' WHEN a >= -309 THEN 'have lost a moderate amount.' ELSE 'have lost a substantial amount.' END
+  WHEN v = 'qualitative' THEN CASE WHEN a >= 1 THEN 'you came out ahead.' WHEN a >= -62 THEN 'you lost a small amount.' ELSE 'you lost a moderate amount.' END
   WHEN kind = 'paper' AND v = 'balance' THEN CASE WHEN a > 0 THEN 'your current balance on your playing card is ' || a || ' CHF above where you began.' WHEN a < 0 THEN 'your current balance on your playing card is ' || -a || ' CHF below where you began.' ELSE 'your current balance on your playing card is exactly the same as where you began.' END
   WHEN kind = 'paper' THEN CASE WHEN a > 0 THEN 'So far during this visit you have won ' || a || ' CHF across previous sessions.' WHEN a < 0 THEN 'So far during this visit you have lost ' || -a || ' CHF across previous sessions.' ELSE 'So far during this visit you are even and have neither won nor lost.' END
   WHEN v = 'balance' THEN CASE WHEN a > 0 THEN 'your final result was ' || a || ' CHF above where you started.' ELSE 'your final result was ' || -a || ' CHF below where you started.' END
   WHEN abs(a) <= 50 THEN CASE WHEN a > 0 THEN 'you finished roughly even, with a small gain of ' || a || ' CHF.' ELSE 'you finished roughly even, with a small loss of ' || -a || ' CHF.' END
   WHEN a > 0 THEN 'you received ' || a || ' CHF.' ELSE 'you paid ' || -a || ' CHF.' END AS sentence
-FROM c, (VALUES ('absolute'), ('balance')) t(v)
+FROM c, (VALUES ('absolute'), ('balance'), ('qualitative')) t(v)
 """)
 def q42_prompt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history sentence of rendered prompts."""
     n = _read(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "paper").otherwise("realized").alias("kind"), ((F.col("n_nationkey") - 12) * 30).alias("a"))
-    own = n.select("*", F.explode(F.array(F.lit("absolute"), F.lit("balance"))).alias("version"))
+    own = n.select("*", F.explode(F.array(F.lit("absolute"), F.lit("balance"), F.lit("qualitative"))).alias("version"))
     own = own.withColumn("p", prompts.prompt_text(F.col("kind"), F.col("a"), F.col("version")))
-    sentence = F.regexp_extract("p", r"((?:So far during|your current balance on your playing card is|your final result|you finished|you received|you paid)[^.]*\.)", 1)
+    sentence = F.regexp_extract("p", r"((?:So far during|your current balance on your playing card is|your final result|you finished|you received|you paid|you came out|you lost)[^.]*\.)", 1)
     return own.select("n_nationkey", "version", sentence.alias("sentence"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -354,3 +356,12 @@ def q89_pair_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(status == "O", "paper_open").when(status == "F", "realized_closed").otherwise("other").alias("pair_role"), F.col("o_orderpriority").alias("domain"), *[F.lit("").alias(c) for c in ("outcome_valence", "amount_bucket", "source_llm")],
     )
     return checks.prompt_issues(rows).groupBy("pair_id", "issue").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT o_orderpriority AS priority, count(*) AS n_rows FROM orders GROUP BY 1")
+def q90_result_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result files of a project, found and read by name."""
+    root = scratch.folder(spark, "project")
+    sinks.write_split(_read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_orderpriority").alias("priority")), f"{root}/results/by_priority", ["p"])
+    parts = [tables.dataset(spark, root, name) for name in tables.datasets(spark, root)]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("priority").agg(F.count("*").alias("n_rows"))

@@ -1,8 +1,11 @@
-"""Writers: CSV with a fixed header, split files with a manifest, atomic rewrite, JSON summaries, vector tables."""
+"""Writers: CSV with a fixed header, split files with a manifest, rewrite with a backup, JSON summaries, vector tables."""
 
 from __future__ import annotations
 
+import csv
+import sys
 import uuid
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +28,23 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", single: boo
     (own.coalesce(1) if single else own).write.mode(mode).options(**_OPTIONS, emptyValue="", nullValue="").csv(path)
 
 
+def print_csv(df: DataFrame, out: TextIO | None = None) -> None:
+    """A small table as CSV on standard output, partition by partition."""
+    writer = csv.writer(out or sys.stdout, lineterminator="\n")
+    writer.writerow(df.columns)
+    for row in _text(df).toLocalIterator():
+        writer.writerow(["" if v is None else v for v in row])
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     write_csv(df, path, "append")
 
 
 def replace_csv(df: DataFrame, path: str) -> str:
-    """Rewrites a table that ``df`` may read from: writes beside it, keeps the old one with ``.bak``, then renames."""
+    """Rewrites a table that ``df`` may read from: writes beside it, keeps the old one with ``.bak``, then renames.
+
+    Between the two renames there is no table at ``path``; ``commits.publish`` has no such moment.
+    """
     spark, new, old = df.sparkSession, f"{path}.tmp-{uuid.uuid4().hex}", f"{path}.bak"
     write_csv(df, new)
     jvm = spark.sparkContext._jvm

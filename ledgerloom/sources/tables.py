@@ -42,6 +42,32 @@ def csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", glo
     return own.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], "_path", "_row")
 
 
+def datasets(spark: SparkSession, root: str) -> list[str]:
+    """The CSV files below the results folder of a project, in order; none if there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/results")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    files, out = fs.listFiles(path, True), set()
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        if name.endswith(".csv"):
+            out.add(name)
+    return sorted(out)
+
+
+def dataset(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One of ``datasets`` by its path, or by its path below ``root``; any other name raises."""
+    if not name:
+        raise ValueError("'' is none of the results")
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path = own(name if own(name).isAbsolute() else f"{root}/{name}")
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if full not in datasets(spark, root):
+        raise ValueError(f"{name!r} is none of the results")
+    return csv(spark, full)
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")

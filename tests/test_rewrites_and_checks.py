@@ -72,3 +72,38 @@ def test_fixed_effects_against_a_dense_design(spark):
         p = math.erfc(abs(b / s) / math.sqrt(2))
         assert np.allclose([got[n]["coef"], got[n]["se"], got[n]["p"]], [b, s, p]) and got[n]["stars"] == ("***" if p < 0.01 else "**" if p < 0.05 else "*" if p < 0.1 else "")
     assert np.isclose(got["const"]["r_squared"], 1 - (e @ e) / ((y - y.mean()) ** 2).sum())
+
+
+def test_result_datasets_and_standard_output(spark, tmp_path, capsys):
+    from ledgerloom.sources import sinks, tables
+
+    root = str(tmp_path)
+    assert tables.datasets(spark, root) == []
+    (tmp_path / "results/a").mkdir(parents=True)
+    (tmp_path / "results/a/x.csv").write_text("c\n1\n2\n")
+    (tmp_path / "results/b.csv").write_text("c\n3\n")
+    (tmp_path / "results/b.txt").write_text("c\n3\n")
+    (tmp_path / "other.csv").write_text("c\n")
+    assert [n.split(root)[1] for n in tables.datasets(spark, root)] == ["/results/a/x.csv", "/results/b.csv"]
+    assert tables.dataset(spark, root, "results/a/x.csv").count() == 2 and tables.dataset(spark, root, f"{root}/results/b.csv").first()["c"] == "3"
+    for bad in ("", "other.csv", "results/../other.csv", "results/b.txt"):
+        with pytest.raises(ValueError, match="none of the results"):
+            tables.dataset(spark, root, bad)
+    sinks.print_csv(spark.createDataFrame([('a "b"', True, None), ("c,d", None, 1.5)], "s string, t boolean, n double").coalesce(1))
+    assert capsys.readouterr().out == 's,t,n\n"a ""b""",True,\n"c,d",,1.5\n'
+
+
+def test_steered_positions_and_empty_regression_frames(spark):
+    from ledgerloom.operators import predicates, summaries
+    from ledgerloom.operators.trials import FIELDS
+
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], [1.0, 0.0])], "t array<array<double>>, d array<double>")
+    got = df.select(summaries.steered_tokens("t", "d", 2.0).alias("a"), summaries.steered_tokens("t", "d", 2.0, "last").alias("l")).first()
+    assert got["a"] == [[3.0, 2.0], [5.0, 4.0]] and got["l"] == [[1.0, 2.0], [5.0, 4.0]]
+    with pytest.raises(ValueError, match="all or last"):
+        summaries.steered_tokens("t", "d", 1.0, "first")
+    trials = spark.createDataFrame([("x",) * len(FIELDS)], ", ".join(f"{c} string" for c in FIELDS))
+    with pytest.raises(ValueError, match="no valid rows"):
+        predicates.regression_frame(trials, "log_wager")
+    with pytest.raises(ValueError, match="missing columns: temperature"):
+        predicates.regression_frame(trials.drop("temperature"), "log_wager")
