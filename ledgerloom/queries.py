@@ -357,19 +357,19 @@ def q25_ols_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.coefficient_table(spark, f).where("term = 'z_quantity'").select("term", F.round("coef", 4).alias("coef"), F.round("se", 4).alias("se"))
 
 
-_ANSWER = "'Line 1: ' || CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR) || chr(10) || 'Line 2: ' || CAST(event_id % 7 AS VARCHAR)"
-
-
-@_query(f"""
-WITH a AS (SELECT event_id, {_ANSWER} AS t FROM events), p AS (SELECT event_id, CAST(regexp_extract(t, 'Line 1: ([0-9]+)', 1) AS BIGINT) AS w, CAST(regexp_extract(t, 'Line 2: ([0-9]+)', 1) AS BIGINT) AS r FROM a)
-SELECT event_id, CAST(CASE WHEN w BETWEEN 1 AND 1000 THEN w END AS INTEGER) AS wager, CAST(CASE WHEN r BETWEEN 1 AND 5 THEN r END AS INTEGER) AS risk, w BETWEEN 1 AND 1000 AS valid, r BETWEEN 1 AND 5 AS valid_risk,
-  CASE WHEN w BETWEEN 1 AND 1000 THEN '' ELSE 'no_number' END AS error FROM p
+@_query("""
+WITH a AS (SELECT event_id, event_id % 8 AS m, CAST(floor(value * 10) AS BIGINT) AS w, event_id % 7 AS r FROM events),
+p AS (SELECT event_id, m, CASE WHEN m NOT IN (5, 6) AND w BETWEEN 1 AND 1000 THEN w END AS w, CASE WHEN m NOT IN (2, 5, 6) AND r BETWEEN 1 AND 5 THEN r END AS r FROM a)
+SELECT event_id, CAST(w AS INTEGER) AS wager, CAST(r AS INTEGER) AS risk, w IS NOT NULL AS valid, r IS NOT NULL AS valid_risk, m IN (5, 7) AS refusal,
+  CASE WHEN m = 6 THEN 'empty_response' WHEN m IN (5, 7) THEN 'refusal_language' WHEN w IS NULL THEN 'no_number' ELSE '' END AS error FROM p
 """)
 def q26_parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of two-line answers."""
-    whole = F.floor(F.col("value") * 10).cast("string")
-    e = _read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Line 1: "), whole, F.lit("\nLine 2: "), (F.col("event_id") % 7).cast("string")).alias("t"))
-    return e.select("event_id", answers.parse_answer(F.col("t")).alias("a")).select("event_id", "a.*").drop("refusal")
+    """Numbers of answers by lines, by labels in either order, by one label only, loose, with notes in brackets, refused, missing, and refused with numbers."""
+    m, w, r = F.col("event_id") % 8, F.floor(F.col("value") * 10).cast("string"), (F.col("event_id") % 7).cast("string")
+    say = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    t = F.when(m == 0, say("Line 1: ", w, "\nLine 2: ", r)).when(m == 1, say("My risk is ", r, " and my wager = ", w)).when(m == 2, say("I would bet ", w, " and no more"))
+    t = t.when(m == 3, say(w, " then ", r)).when(m == 4, say("Wager (1-1000): ", w, "\r\n\r\nRisk (1 to 5) - ", r)).when(m == 5, "As an AI I cannot say").when(m == 7, say("I am unable, but\n", w, "\n", r))
+    return _read(spark, sf_dir, "events").select("event_id", answers.parse_answer(t).alias("a")).select("event_id", "a.*")
 
 
 @_query("""
