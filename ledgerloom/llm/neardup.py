@@ -17,7 +17,8 @@ members by a sketch, one byte of each coordinate, which travels instead of the t
 2. Exact step. In every bucket that still holds several classes, members outside its largest class meet all members, block by
    block. Every pair of different classes whose sketches agree in at least ``AGREE`` coordinates, and that was not
    verified before, is verified. A pair of similarity 0.8 agrees in fewer with a probability of 4e-5. Buckets of more than
-   ``CROWD`` pairs take their texts along and are verified in the task, so that they never give out pairs but true links.
+   ``CROWD`` pairs take their texts along and all pairs get their exact similarity in the task, one text against a block at once,
+   so that they never give out pairs but true links.
 
 So a link between different texts can only be missed by the two probabilities above, whatever the sizes of groups. Rounds
 are repeated while they at least halve the pairs that the exact step would compare.
@@ -30,7 +31,7 @@ doc_id that occurs in several rows stands for all of them, with the text of any.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -290,16 +291,34 @@ def _linking(members: DataFrame, seed: int) -> DataFrame:
     return dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_best, "u long, v long").distinct()
 
 
-def _forest(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """(u, v): true links that connect the classes of each group as far as any of its pairs do.
+def _common(sets: list[tuple[np.ndarray, np.ndarray]]) -> Callable[[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For one weighted set, the weight it has in common with each of ``sets``, none of which is empty: one pass over their elements."""
+    names, code = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)
+    weights = np.concatenate([s[1] for s in sets])
+    first = np.cumsum([0, *(len(s[0]) for s in sets[:-1])])
+    own = np.zeros(len(names), np.int64)
 
-    Similar pairs are verified on the texts, the likeliest first, and passed over once their classes are connected.
-    """
+    def common(one: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        at = np.minimum(np.searchsorted(names, one[0]), len(names) - 1)
+        known = names[at] == one[0]
+        own[at[known]] = one[1][known]
+        out = np.add.reduceat(np.minimum(own[code], weights), first)
+        own[at[known]] = 0
+        return out
+
+    return common
+
+
+def _forest(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(u, v): true links that connect the classes of each group as far as any of its pairs do. All pairs get their exact similarity."""
     for part, edge in _whole(batches, ["key", "block", "other"]):
         rep, cls, n = (part.column(c).to_numpy() for c in ("rep", "class", "n"))
-        left, sketch, text = part.column("left").to_numpy(zero_copy_only=False), _sketches(part.column("sketch")), part.column("text")
+        left, text = part.column("left").to_numpy(zero_copy_only=False), part.column("text")
         out: list[tuple[int, int]] = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
+            rows, others = a + np.flatnonzero(left[a:b]), a + np.flatnonzero(~left[a:b])
+            if not len(rows) or not len(others):
+                continue
             above: dict[int, int] = {}
 
             def root(x: int, above: dict[int, int] = above) -> int:
@@ -308,19 +327,12 @@ def _forest(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
                     x = y
                 return x
 
-            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            rows, others = a + np.flatnonzero(left[a:b]), a + np.flatnonzero(~left[a:b])
+            common = _common([shingles(text[int(z)].as_py()) for z in others])
             for x in rows:
-                agree = np.where((cls[x] != cls[others]) & _close(n[x], n[others]), (sketch[x] == sketch[others]).sum(1, dtype=np.int32), 0)
-                order = np.argsort(-agree, kind="stable")
-                for y in others[order[: int((agree >= AGREE).sum())]]:
+                same = common(shingles(text[int(x)].as_py()))
+                for y in others[(same / (n[x] + n[others] - same) >= least) & (cls[others] != cls[x])]:
                     one, two = root(int(cls[x])), root(int(cls[y]))
-                    if one == two:
-                        continue
-                    for z in (x, y):
-                        if z not in sets:
-                            sets[z] = shingles(text[int(z)].as_py())
-                    if similarity(sets[x], sets[y]) >= least:
+                    if one != two:
                         above[one] = two
                         out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
         if out:
