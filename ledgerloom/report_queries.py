@@ -226,14 +226,14 @@ def q58_token_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH x AS (SELECT vec_id, list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS s, list_sum(list_transform(range(1, 65), lambda i: 2.5 * (i % 3))) AS d FROM embeddings)
-SELECT vec_id, round(s + d, 3) AS total, round(s, 3) AS first_token, round(2 * s + d, 3) AS last_token FROM x
+SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) + 2.5 * (i % 3))), 3) AS total, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE))), 3) + CAST(0 AS DOUBLE) AS first_token,
+  round(list_sum(list_transform(range(1, 65), lambda i: 2 * CAST(embedding[i] AS DOUBLE) + 2.5 * (i % 3))), 3) AS last_token FROM embeddings
 """)
 def q59_steering_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors moved along a direction, all or the last of a prompt's tokens."""
     e = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("h"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i % 3).cast("double")).alias("d"))
     own = e.withColumn("tokens", F.array("h", F.transform("h", lambda x: 2 * x))).select("vec_id", summaries.steered("h", "d", 2.5).alias("all"), summaries.steered_tokens("tokens", "d", 2.5, "last").alias("last"))
-    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 3)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 3) + F.lit(0.0)  # noqa: E731  no negative zeros
     return own.select("vec_id", total(F.col("all")).alias("total"), total(F.get("last", F.lit(0))).alias("first_token"), total(F.get("last", F.lit(1))).alias("last_token"))
 
 
