@@ -6,8 +6,8 @@ word's likelihood in a language is the product of its trigrams' smoothed probabi
 estimates the shares in which the languages generated the document's words. The language set is chosen by penalised
 likelihood: among the nested sets of the 1, 2, ... largest shares, up to the last one of at least one word, each
 fitted again, the one with the greatest log-likelihood less half a log(words) for every further language. The
-prediction is the language with the largest share. A document's fit ends when its own shares settle, whatever else is
-in its chunk.
+prediction is the language with the largest share. A document's fit ends when its own shares settle (no share moves
+by 0.001), whatever else is in its chunk, or after ``ROUNDS`` rounds; shares of the few that still move are then approximate.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0, as is everything if there was nothing
 to learn from; ties go to the language that sorts first; repeated rows get equal predictions; very long texts

@@ -139,7 +139,7 @@ def signatures_of(sets: list[tuple[np.ndarray, np.ndarray]], k: int = BANDS * RO
 
 def bands(sig: np.ndarray, count: int = BANDS) -> np.ndarray:
     """One 64-bit key for each band of each signature."""
-    rows = sig.reshape(len(sig), count, -1)
+    rows = sig.reshape(len(sig), count, sig.shape[1] // count)  # also of no signatures
     key = np.repeat(_mix(np.arange(1, count + 1).astype(_U))[None], len(sig), 0)
     for j in range(rows.shape[2]):
         key = _mix(key + rows[:, :, j])

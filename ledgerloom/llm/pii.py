@@ -18,7 +18,8 @@ regression over votes, shapes and the word before, the span classifier. A candid
 that touches no base span is added.
 
 Edge cases: null is the empty text; repeated rows get equal spans; texts without digits and @ are passed over
-quickly; a corpus without candidates gives an untrained model, which adds nothing. Only ``doc_id`` and ``text`` are read.
+quickly; a corpus without candidates gives an untrained model, which adds nothing; of added spans that overlap, the one of the
+pattern that comes first stays. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
