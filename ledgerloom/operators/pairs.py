@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +78,18 @@ def matched_deltas(rows: DataFrame, key: str, scale: str, base: float, measures:
     return out.select(scale, "n", *[f"{n}_{m}_delta" for m in measures for n in ("mean", "median")])
 
 
+def matched_delta_subsets(rows: DataFrame, key: str, scale: str, base: float, measures: list[str], subsets: dict[str, str]) -> DataFrame:
+    """``matched_deltas`` for each subset, a name and the column that both rows of a pair must have true.
+
+    Every scale but the base has a row for every subset; without pairs n is 0 and means and medians are NaN.
+    """
+    parts = [matched_deltas(rows, key, scale, base, measures, valid).withColumn("subset", F.lit(name)) for name, valid in subsets.items()]
+    found = functools.reduce(DataFrame.unionByName, parts)
+    every = rows.where(F.col(scale) != base).select(scale).distinct().withColumn("subset", F.explode(F.array(*map(F.lit, subsets))))
+    out = every.join(found, [scale, "subset"], "left")
+    return out.select(scale, "subset", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in found.columns if c.endswith("_delta")])
+
+
 def scale_summary(rows: DataFrame, scale: str, valid: str, strict: str, measures: list[str]) -> DataFrame:
     """Rows, valid and strictly valid rows, and means over either, of each scale."""
     means = [F.avg(F.when(F.col(v), F.col(m))).alias(f"mean_{m}_{n}") for v, n in ((valid, "valid"), (strict, "strict")) for m in measures]

@@ -94,6 +94,10 @@ def first_filled(*cells: Column | str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in cells], F.lit(""))
 
 
+def percent(rate: str) -> Column:
+    return F.col(rate) * 100.0
+
+
 def mapped(x: str, values: dict[str, str]) -> Column:
     """A value's name in a report; null where there is none."""
     return F.try_element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.col(x))

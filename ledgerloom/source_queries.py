@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import prompts, rewrites, text
-from .operators import checks, formula, orders, partitioning, ranks, regression, summaries, trials, vectors
+from .operators import checks, formula, orders, pairs, partitioning, predicates, ranks, regression, summaries, trials, vectors
 from .plans import generation
 from .queries import PRIORITIES, _query, _read
 from .report_queries import _trial_rows
@@ -365,3 +365,73 @@ def q90_result_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_split(_read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_orderpriority").alias("priority")), f"{root}/results/by_priority", ["p"])
     parts = [tables.dataset(spark, root, name) for name in tables.datasets(spark, root)]
     return functools.reduce(DataFrame.unionByName, parts).groupBy("priority").agg(F.count("*").alias("n_rows"))
+
+
+#: Lines of a JSON file in the query of faults.
+_JSON_LINES = 4000
+
+
+@_query(f"""
+WITH n AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT CAST(i // {_JSON_LINES} AS INTEGER) AS file, CAST(i % {_JSON_LINES} + 1 AS BIGINT) AS line, CASE WHEN k % 4 = 1 THEN 'not_json' ELSE 'not_an_object' END AS fault FROM n WHERE k % 4 IN (1, 2)
+""")
+def q91_json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of JSON lines with blank, broken and other lines: each fault with its file and line, no line being sorted when read."""
+    k = F.col("o_orderkey")
+    o = ranks.numbered(_read(spark, sf_dir, "orders").select("o_orderkey"), [k], "i", 0)
+    line = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit('{"k": '), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("["), k.cast("string"), F.lit("]"))).otherwise(F.to_json(F.struct(k.alias("k"))))
+    path = scratch.folder(spark, "json-lines")
+    rows = o.select(F.floor(F.col("i") / _JSON_LINES).cast("int").alias("file"), "i", line.alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "i").select("file", "value").write.partitionBy("file").text(path)
+    return tables.json_faults(spark, path).select(F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("int").alias("file"), "line", "fault")
+
+
+@_query("""
+SELECT CAST(o_custkey AS VARCHAR) AS prompt_id, coalesce('second ' || max(o_orderkey) FILTER (WHERE o_orderkey % 2 = 0), 'first ' || max(o_orderkey)) AS prompt_text FROM orders WHERE o_custkey % 7 <> 0 GROUP BY o_custkey
+""")
+def q92_prompt_texts_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of prompts of two runs and one without the file; the last line of the last run counts."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 == 0, "").otherwise(F.col("o_custkey").cast("string")).alias("prompt_id"))
+    root = scratch.folder(spark, "runs")
+    for name, rows in (("first", o), ("second", o.where("o_orderkey % 2 = 0"))):
+        own = rows.withColumn("prompt_text", F.concat_ws(" ", F.lit(name), "o_orderkey"))
+        own.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").drop("o_orderkey").write.json(f"{root}/{name}/prompts.jsonl")
+    return tables.prompt_texts(spark, [f"{root}/{name}" for name in ("first", "missing", "second")])
+
+
+@_query("""
+WITH b AS (SELECT l_orderkey, any_value(l_quantity) AS q, any_value(l_discount) AS d FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING count(*) = 1),
+m AS (SELECT l_linenumber AS scale, l.l_quantity - b.q AS x, greatest(l.l_discount, b.d) AS d FROM lineitem l JOIN b USING (l_orderkey) WHERE l_linenumber > 1),
+s AS (SELECT DISTINCT scale, subset FROM m, (VALUES ('all_valid'), ('strict_valid')) t(subset))
+SELECT CAST(s.scale AS INTEGER) AS scale, s.subset, count(x) AS n, round(avg(x), 4) AS mean_l_quantity_delta, round(median(x), 4) AS median_l_quantity_delta
+FROM s LEFT JOIN m ON m.scale = s.scale AND m.d < CASE s.subset WHEN 'all_valid' THEN 0.09 ELSE 0.05 END AND (s.subset = 'all_valid' OR s.scale < 7) GROUP BY ALL
+""")
+def q93_matched_delta_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas to the base scale over all valid and strictly valid pairs, with a row for what has none."""
+    discount, scale = F.col("l_discount"), F.col("l_linenumber")
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", scale.alias("scale"), "l_quantity", (discount < 0.09).alias("valid"), ((discount < 0.05) & (scale < 7)).alias("strict"))
+    one = li.where("scale = 1").groupBy("l_orderkey").count().where("count = 1").select("l_orderkey")
+    out = pairs.matched_delta_subsets(li.join(one, "l_orderkey", "left_semi"), "l_orderkey", "scale", 1, ["l_quantity"], {"all_valid": "valid", "strict_valid": "strict"})
+    return out.select("scale", "subset", "n", *[F.round(F.nullif(c, F.lit(float("nan"))), 4).alias(c) for c in out.columns if c.endswith("_delta")])
+
+
+@_query("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n_rows, CAST(sum(o_custkey) AS BIGINT) AS texts FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1, 2")
+def q94_merged_prompt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt files of three models as one, blank ids left out and repeated ones refused."""
+    base, k = scratch.folder(spark, "prompt-files"), F.col("o_orderkey")
+    own = _read(spark, sf_dir, "orders").select(F.when(k % 5 == 0, "").otherwise(k.cast("string")).alias("prompt_id"), F.col("o_custkey").cast("string").alias("prompt_text"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    for status in ("O", "F", "P"):
+        sinks.write_csv(own.where(F.col("status") == status), f"{base}/{status}")
+    got = tables.merged_prompts([tables.csv(spark, f"{base}/{status}").drop("_path", "_row") for status in ("O", "F", "P")])
+    return got.groupBy("status", "priority").agg(F.count("*").alias("n_rows"), F.sum(F.col("prompt_text").cast("long")).alias("texts"))
+
+
+@_query("""
+SELECT CAST(l_linenumber AS INTEGER) AS scale, CASE l_returnflag WHEN 'A' THEN 'Accepted' WHEN 'R' THEN 'Returned' END AS source, round(100.0 * (1 - count(*) FILTER (WHERE l_discount < 0.05) / count(*)), 4) AS noncompliance_percent
+FROM lineitem GROUP BY l_linenumber, l_returnflag
+""")
+def q95_report_of_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-compliance in percent by scale and source, sources by their names in reports, null where there is none."""
+    li = _read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("scale"), "l_returnflag", (F.col("l_discount") < 0.05).alias("ok"))
+    own = pairs.compliance(li, "scale", ["l_returnflag"], "ok").where("group_type = 'l_returnflag'")
+    return own.select("scale", predicates.mapped("group_value", {"A": "Accepted", "R": "Returned"}).alias("source"), F.round(predicates.percent("noncompliance_rate"), 4).alias("noncompliance_percent"))

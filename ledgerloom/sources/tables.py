@@ -8,6 +8,7 @@ from csv import reader as csv_lines
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.pairs import assert_unique
 from ..operators.trials import FIELDS
 
 
@@ -130,6 +131,51 @@ def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.where(F.trim(key) != "").groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per JSON object; blank lines are skipped and others raise."""
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, line, value) of text files, lines counted from 1 in each file, blank ones included.
+
+    Nothing is sorted: ids run on within a block of a file, so a line is its block's place, from the counts of the blocks
+    before it, and its distance from the block's first id. Both scans share one list of files, so they are cut alike.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    blocks = raw.groupBy("path", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    places = blocks.select("path", "_at", (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_shift"))  # one row for each block of a file
+    return raw.join(places, ["path", "_at"]).select("path", (F.col("_id") + F.col("_shift")).alias("line"), "value")
+
+
+def json_faults(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, line, fault) of the lines that are neither blank nor a JSON object; fault: not_json or not_an_object."""
+    v = F.try_parse_json("value")
+    fault = F.when(v.isNull(), "not_json").when(~F.schema_of_variant(v).startswith("OBJECT"), "not_an_object")
+    return numbered_lines(spark, path).where(F.col("value").rlike(r"\S")).select("path", "line", fault.alias("fault")).where("fault is not null")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
+    """One row per JSON object; blank lines are skipped and others raise: when read, or, if strict, at once and with file and line."""
+    if strict and (bad := json_faults(spark, path).orderBy("path", "line").limit(1).collect()):
+        raise ValueError(f"{bad[0]['path']}:{bad[0]['line']}: {bad[0]['fault'].replace('_', ' ')}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def prompt_texts(spark: SparkSession, runs: list[str], name: str = "prompts.jsonl") -> DataFrame:
+    """(prompt_id, prompt_text): texts of several runs; of equal ids the last line of the last run counts.
+
+    Runs without the file are passed over, as are blank ids; a null text is empty; a line that is not JSON raises.
+    """
+    hadoop, parts = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, []
+    for k, run in enumerate(runs):
+        path = hadoop(f"{run}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            parts.append(numbered_lines(spark, path.toString()).where(F.col("value").rlike(r"\S")).select(F.lit(k).alias("run"), "path", "line", F.parse_json("value").alias("v")))
+    if not parts:
+        return spark.createDataFrame([], "prompt_id string, prompt_text string")
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    own = rows.select("run", "path", "line", *[F.coalesce(F.variant_get("v", f"$.{c}", "string"), F.lit("")).alias(c) for c in ("prompt_id", "prompt_text")])
+    return own.where("prompt_id <> ''").groupBy("prompt_id").agg(F.max_by("prompt_text", F.struct("run", "path", "line")).alias("prompt_text"))
+
+
+def merged_prompts(parts: list[DataFrame]) -> DataFrame:
+    """Prompt tables as one, by column names; rows with an empty id go, ids that come again in any table raise, columns that a table lacks are blank."""
+    own = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [require(p, ["prompt_id", "prompt_text"]).where("prompt_id <> ''") for p in parts])
+    return assert_unique(own, "prompt_id").fillna("")
