@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import slug_id
+from ..functions.coerce import once, slug_id
 
 # The axes of a plan in nesting order, (list key, single key, default).
 AXES = (
@@ -53,8 +53,9 @@ def cells_of(plans: DataFrame, content: str = "content") -> DataFrame:
     wrong = F.raise_error(F.concat(F.lit("a plan has models and cells, both non-empty lists: "), F.substring(content, 1, 100)))
     own = plans.select(content, F.from_json(content, _PLAN).alias("p"))
     own = own.select(F.when((F.size("p.models") > 0) & (F.size("p.cells") > 0), F.col("p")).otherwise(wrong.cast(_PLAN)).alias("p"))
-    own = own.select("p.name", F.coalesce("p.default_count_per_cell_per_model", F.lit(3)).alias("least"), "p.cells", F.posexplode("p.models").alias("m", "model"))
-    own = own.select("name", "least", "m", "model", F.posexplode("cells").alias("c", "cell"))
+    # outer, as no list is empty: from an inner explode Spark derives filters that parse each document again
+    own = own.select("p.name", F.coalesce("p.default_count_per_cell_per_model", F.lit(3)).alias("least"), "p.cells", F.posexplode_outer("p.models").alias("m", "model"))
+    own = own.select("name", "least", "m", "model", F.posexplode_outer("cells").alias("c", "cell"))
     of = lambda key: F.try_element_at("cell", F.lit(key))  # noqa: E731  lists arrive as JSON texts
     axes = [
         F.when(of(many).isNull(), F.array(F.coalesce(of(one), F.lit(default)))).when(of(many).startswith("["), F.from_json(of(many), "array<string>")).otherwise(F.array(of(many))).alias(many)
@@ -72,14 +73,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def jobs(plan_cells: DataFrame) -> DataFrame:
-    """One row per combination of a cell's axes, with ``ordinal`` in nesting order and ``batch_id``."""
-    own, places = plan_cells, ["m", "c"]
+    """One row per combination of a cell's axes, with its ``place`` in nesting order and ``batch_id``.
+
+    A slug is made once for each value of a cell, before the product; the outer explodes keep Spark from deriving filters that make
+    the lists again below.
+    """
+    axes = [many for many, _, _ in AXES]
+    heads = [p for p in BATCH_PARTS if p in plan_cells.columns]
+    own = plan_cells.withColumns({many: F.transform(many, lambda x: F.struct(x.alias("value"), _part(x).alias("part"))) for many in axes} | {f"_{p}": _part(F.col(p)) for p in heads})
     for many, one, _ in AXES:
-        own = own.select("*", F.posexplode(many).alias(f"p_{one}", one)).drop(many)
-        places.append(f"p_{one}")
-    parts = [F.when(F.col(p) != "", slug_id(p)) for p in BATCH_PARTS]
-    own = own.withColumns({"batch_id": F.concat_ws("__", *parts), "place": F.struct(*places)})
-    return own.drop(*places)
+        own = own.select("*", F.posexplode_outer(many).alias(f"p_{one}", f"_{one}")).where(F.col(f"p_{one}").isNotNull()).drop(many)
+    parts = [F.col(f"_{p}" if p in heads else f"_{p}.part") for p in BATCH_PARTS]
+    values = [F.col(f"_{one}.value").alias(one) for _, one, _ in AXES]
+    place = F.struct("m", "c", *(f"p_{one}" for _, one, _ in AXES)).alias("place")
+    return own.select(*[c for c in plan_cells.columns if c not in {"m", "c", *axes}], *values, F.concat_ws("__", *parts).alias("batch_id"), place)
+
+
+def _part(x: Column) -> Column:
+    """A value as a part of a batch id; null, which leaves the part out, if it is empty. Most values are slugs already, which one match tells."""
+    return once(x, lambda v: F.when(v.rlike(r"^[a-z0-9]+(?:_[a-z0-9]+)*\z"), v).when(v != "", slug_id(v)))
 
 
 def first_jobs(plan_cells: DataFrame, count: int) -> DataFrame:
@@ -106,7 +118,7 @@ def requests(job_rows: DataFrame, most: int) -> DataFrame:
     """Jobs cut into requests of at most ``most`` prompts; several get the suffixes part_001, part_002 ..."""
     if most <= 0:
         return job_rows.withColumns({"part": F.lit(1), "request_count": F.col("count")})
-    own = job_rows.withColumn("part", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("count") / most), F.lit(1)).cast("int"))))
+    own = job_rows.withColumn("part", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("count") / most), F.lit(1)).cast("int"))))
     many = F.col("count") > most
     return own.withColumns({
         "request_count": F.least(F.lit(most), F.col("count") - (F.col("part") - 1) * most),

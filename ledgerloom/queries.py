@@ -530,7 +530,9 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.to_json(F.struct(F.lit("c1").alias("cell_id"), (1 + k % 5).alias("count_per_model"), F.array(F.lit("casino"), F.col("c_mktsegment")).alias("domains"), F.array(F.lit("paper"), F.lit("realized")).alias("realization_frames")))
     two = F.to_json(F.struct(F.lit("c2").alias("cell_id"), F.lit("real estate").alias("domain"), F.array(F.lit("positive"), F.lit("control")).alias("contrast_roles"), F.lit("low").alias("amount_buckets")))
     head = F.to_json(F.struct(F.concat(F.lit("Plan "), k.cast("string")).alias("name"), F.array(model("small"), model("large")).alias("models")))
-    return _read(spark, sf_dir, "customer").select(F.concat(F.rtrim(head, F.lit("}")), F.lit(', "cells": ['), one, F.lit(", "), two, F.lit("]}")).alias("content"))
+    # a small file is one split, but each of its rows becomes a document of many jobs
+    own = _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return own.select(F.concat(F.rtrim(head, F.lit("}")), F.lit(', "cells": ['), one, F.lit(", "), two, F.lit("]}")).alias("content"))
 
 
 _PLANS = """

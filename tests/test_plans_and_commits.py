@@ -50,6 +50,18 @@ def test_plan_documents_and_first_jobs(spark):
             generation.cells_of(spark.createDataFrame([(bad,)], "content string")).collect()
 
 
+def test_documents_of_plans_are_parsed_once(spark):
+    values = ["Real  Estate", "a_b", "a__b", "ok", "ok\n", " \t", "-", "", "\u00c9t\u00e9"]
+    docs = spark.createDataFrame([(json.dumps({"name": "P", "models": [{"alias": "s", "model": "m"}], "cells": [{"domains": values, "splits": ["t"]}, {"domains": []}]}),)], "content string")
+    got = generation.jobs(generation.cells_of(docs))
+    rest = "none__neutral__none__none__none__positive"
+    parts = ["real_estate", "a_b", "a_b", "ok", "ok", "none", "none", None, "t"]
+    assert [r["batch_id"] for r in got.orderBy("place").collect()] == ["__".join(x for x in ("p__s__t", p, rest) if x) for p in parts]
+    # filters that Spark derived from the lists parsed every document again, for each list
+    plan = generation.requests(got, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(name") == 1 and not [x for x in plan.splitlines() if "Filter" in x and "from_json" in x]
+
+
 def response(content):
     return json.dumps({"choices": [{"message": {"content": content}}]})
 
