@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A number whose key is its own start: at most 7 digits before the point and 4 after it, zeros at the end left out.
+_SHORT = r"^(?:0|[1-9][0-9]{0,6})(?=(?:\.0*)?\z)|^(?:0|[1-9][0-9]{0,6})\.[0-9]{0,3}[1-9](?=0*\z)"
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -62,7 +64,7 @@ def run_number(x: Column | str) -> Column:
 
 
 def temperature_key(x: Column | str) -> Column:
-    """The number in at most 12 significant digits without trailing zeros; empty if it is no number."""
+    """The number in at most 12 significant digits without trailing zeros; empty if it is no number. One match finds the key of most."""
 
     def shorter(parts: Column) -> Column:
         m = parts["m"]
@@ -77,7 +79,8 @@ def temperature_key(x: Column | str) -> Column:
         special = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").when(v == 0, zero)
         return F.when(v.isNull(), "").otherwise(F.coalesce(special, plain))
 
-    return once(once(strip(x), lambda own: F.struct(own.alias("own"), number(own).alias("v"))), of)
+    any_number = lambda own: once(F.struct(own.alias("own"), number(own).alias("v")), of)
+    return once(once(strip(x), lambda own: F.struct(own.alias("own"), F.regexp_extract(own, _SHORT, 0).alias("short"))), lambda n: F.when(n["short"] != "", n["short"]).otherwise(any_number(n["own"])))
 
 
 def comparison_cell(x: Column | str) -> Column:
@@ -105,20 +108,20 @@ def partition_key(model: str = "model", temperature: str = "temperature", versio
 def identity() -> Column:
     """The key of a trial: its run if that is complete, else its request, else the row itself."""
     fields = {"c": strip("condition"), "m": strip("model"), "v": strip("prompt_version"), "t": temperature_key("temperature"), "n": run_number("run_number"), "r": strip("request_id")}
+    return once(F.struct(*[x.alias(name) for name, x in fields.items()]), lambda k: identity_of(*[k[x] for x in fields]))
 
-    def of(k: Column) -> Column:
-        c, m, v, t, n, r = (k[x] for x in fields)
-        run = F.when((c != "") & (n > 0) & (m != "") & (t != "") & (v != ""), F.array(F.lit("run"), c, n.cast("string"), m, t, v))
-        request = F.when(r != "", F.array(F.lit("request_id"), r))
-        row = F.array(F.lit("row"), c, strip("run_number"), m, t, v, strip("timestamp"), F.coalesce("response_text", F.lit("")))
-        return F.coalesce(run, request, row)
 
-    return once(F.struct(*[x.alias(name) for name, x in fields.items()]), of)
+def identity_of(c: Column, m: Column, v: Column, t: Column, n: Column, r: Column) -> Column:
+    """``identity`` of a row whose condition, model, version, temperature, run and request are stripped or numbers already."""
+    run = F.when((c != "") & (n > 0) & (m != "") & (t != "") & (v != ""), F.array(F.lit("run"), c, n.cast("string"), m, t, v))
+    request = F.when(r != "", F.array(F.lit("request_id"), r))
+    row = F.array(F.lit("row"), c, strip("run_number"), m, t, v, strip("timestamp"), F.coalesce("response_text", F.lit("")))
+    return F.coalesce(run, request, row)
 
 
 def quality() -> Column:
     """What makes one of two equal trials better, from the first field on."""
-    has = lambda x: (strip(x) != "").cast("int")
+    has = lambda x: F.coalesce(x, F.lit("")).rlike(r"(?U)\S").cast("int")  # noqa: E731  what ``strip`` leaves is not empty
     return F.struct(
         has("request_id").alias("request"), has("timestamp").alias("time"), has("parsed_wager").alias("wager"), has("risk_profile").alias("risk"),
         F.length(F.coalesce("response_text", F.lit(""))).alias("length"),

@@ -76,7 +76,7 @@ def merge(blocks: DataFrame, output: DataFrame | None = None, step: int = 1) ->
         new = new.unionByName(own.where("_old = 0").join(seen, "_b", "left_anti").select(own.columns))
     ranks = own.select("_b").distinct().withColumn("_brank", F.dense_rank().over(Window.orderBy(F.col("_b").asc_nulls_first())))  # a row for each block
     ranked = new.join(_few(ranks), new["_b"].eqNullSafe(ranks["_b"])).drop(ranks["_b"])
-    one = best_rows(ranked, ["_key"], [F.col("_quality")], ["_old", "_brank", "_file", "_row"])
+    one = best_rows(ranked, ["_key"], [coerce.quality()], ["_old", "_brank", "_file", "_row"])
     order = [F.col(f"_o{i}") for i in range(len(row_order()))]
     return numbered(one, [*order, F.col("_file"), F.col("_row")], "_id").withColumn("trial_id", F.col("_id").cast("string")).select(*FIELDS)
 
@@ -92,9 +92,12 @@ def _few(keys: DataFrame) -> DataFrame:
 
 
 def _keyed(trials: DataFrame, file: Column) -> DataFrame:
-    """The fields, ``_file`` and ``_row``, and every key that a merge needs, each made once a row."""
+    """The fields, ``_file`` and ``_row``, and every key that a merge needs, each made once a row, as are their parts."""
     order = [c.alias(f"_o{i}") for i, c in enumerate(row_order())]
-    return trials.select(*FIELDS, file.cast("int").alias("_file"), "_row", F.to_json(coerce.block_selector()).alias("_b"), coerce.identity().alias("_key"), coerce.quality().alias("_quality"), *order)
+    own = trials.select(*FIELDS, file.cast("int").alias("_file"), "_row", *order)
+    m, t, v, c, n, r = (F.col(f"_o{i}") for i in range(len(order)))
+    block = F.when((m != "") & (t != "") & (v != ""), F.to_json(F.struct(m.alias("model"), t.alias("temperature"), v.alias("prompt_version"))))
+    return own.select(*FIELDS, "_file", "_row", block.alias("_b"), coerce.identity_of(c, m, v, t, n, r).alias("_key"), *[f"_o{i}" for i in range(len(order))])
 
 
 def missing_runs(conditions: DataFrame, runs: int, done: DataFrame) -> DataFrame:

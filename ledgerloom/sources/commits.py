@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,12 +50,18 @@ def _put(spark: SparkSession, folder: str, number: int, content: str) -> None:
         raise RuntimeError(f"another writer has committed number {number} of {folder}")
 
 
-def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> int:
-    """Writes a version of all tables and commits it; its number. Tables may read the version before. Versions before that one go."""
+def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]) -> int:
+    """Writes a version of all tables and commits it; its number. Tables may read the version before. Versions before that one go.
+
+    A table may be a function of the tables of this version that are written before it.
+    """
     done = _commits(spark, folder)
     number, version = (done[-1][0] if done else 0) + 1, uuid.uuid4().hex
-    for name, df in tables.items():
+    written: dict[str, DataFrame] = {}
+    for name, table in tables.items():
+        df = table if isinstance(table, DataFrame) else table(written)
         df.write.parquet(f"{folder}/{version}/{name}")
+        written[name] = spark.read.schema(df.schema).parquet(f"{folder}/{version}/{name}")
     _put(spark, folder, number, json.dumps({name: f"{version}/{name}" for name in tables}))
     jvm, fs = _fs(spark, folder)
     for _, old in done[:-1]:
@@ -81,6 +88,7 @@ def reconcile(blocks: DataFrame, folder: str, step: int = 1) -> tuple[int, int]:
         return 0, 0
     old = current(spark, folder, "merged")
     merged = trials.merge(blocks, None if old is None else old.withColumn("_row", old["trial_id"].cast("long")), step)
-    grouped = merged.repartitionByRange("condition", "model", "prompt_version").sortWithinPartitions("condition", "model", "prompt_version")
-    publish(spark, folder, {"merged": merged, "grouped": grouped})
+    key = ("condition", "model", "prompt_version")
+    # the copy is made from the table as written: the merge does not run again, nor a third time to find the ranges
+    publish(spark, folder, {"merged": merged, "grouped": lambda written: written["merged"].repartitionByRange(*key).sortWithinPartitions(*key)})
     return files, current(spark, folder, "merged").count()

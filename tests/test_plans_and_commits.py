@@ -6,7 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import orders
+from ledgerloom.functions import coerce
+from ledgerloom.operators import orders, ranks
 from ledgerloom.operators.trials import FIELDS
 from ledgerloom.plans import generation
 from ledgerloom.sources import commits
@@ -109,6 +110,34 @@ def test_tables_change_in_one_commit(spark, tmp_path):
     assert commits.reconcile(blocks(spark, []), folder) == (0, 0) and seen(commits.current(spark, folder, "merged")) == want
 
 
+def test_a_table_is_made_from_one_of_its_version(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(range(50), 2).map(lambda i: (runs.add(1), (i % 7, i))[1]), "k int, v int")
+    commits.publish(spark, str(tmp_path), {"a": rows, "b": lambda done: done["a"].repartitionByRange("k").sortWithinPartitions("k")})
+    assert runs.value == 50 and sorted(commits.current(spark, str(tmp_path), "b").collect()) == sorted(commits.current(spark, str(tmp_path), "a").collect())
+
+
+def test_numbers_need_no_window_over_the_rows(spark):
+    df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("v"))
+    got = ranks.numbered(df, [F.col("v").desc()], "n", 5)
+    assert {r["v"]: r["n"] for r in got.collect()} == {v: 999 - v + 5 for v in range(1000)}
+    assert "windowspecdefinition(_p" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert ranks.numbered(df.where("v < 0"), [F.col("v")], "n").count() == 0
+
+
+def test_short_temperatures(spark):
+    texts = ["0", "00", "0.0", "0.", "1", "1.", "1.0", "1.50", "10", "100.00", "1234567", "12345670", "12345678.5", "0.7", ".7", "0.0001", "0.00010", "0.00012", "0.00001", "1234567.1234", "1234567.12345", "999999999999.5", "-0", "-1.0", "+1", "1e3", " 0.70 ", "1\n", "07", "x", ""]
+
+    def want(t):
+        try:
+            return f"{float(t):.12g}"
+        except ValueError:
+            return ""
+
+    got = {r["t"]: r["k"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", coerce.temperature_key("t").alias("k")).collect()}
+    assert got == {t: want(t) for t in texts}
+
+
 @pytest.mark.parametrize("step", ["second table", "before the commit"])
 def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch, step):
     folder = str(tmp_path / "out")
