@@ -89,8 +89,11 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def overlay(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """Rows of both scans by file name; files of ``extra`` replace those of the same name. Both have ``_path``."""
-    name = F.element_at(F.split("_path", "/"), -1)
+    """Rows of both scans by file name; files of ``extra`` replace those of the same name. Both have ``_path``.
+
+    The files of one block, as ``sinks.write_blocks`` names them, go by the block's name.
+    """
+    name = F.regexp_replace(F.element_at(F.split("_path", "/"), -1), r"__part-[0-9]+\.csv$", ".csv")
     a, b = base.withColumn("_name", name), extra.withColumn("_name", name)
     return a.join(b.select("_name").distinct(), "_name", "left_anti").unionByName(b, allowMissingColumns=True).drop("_name")
 

@@ -10,7 +10,7 @@ from ledgerloom.functions import coerce
 from ledgerloom.operators import orders, ranks
 from ledgerloom.operators.trials import FIELDS
 from ledgerloom.plans import generation
-from ledgerloom.sources import commits
+from ledgerloom.sources import commits, sinks, tables
 from ledgerloom.streaming import progress
 
 
@@ -172,3 +172,21 @@ def test_runs_are_bitmaps(spark):
     assert counted.where("model = 'm' and condition = 'c'").count() == 4 and {len(r["runs"]) for r in counted.collect()} == {4096}
     got = sorted(tuple(r) for r in progress.totals(counted, 60, F.lit(changed + datetime.timedelta(minutes=5, seconds=30)).cast("timestamp")).collect())
     assert got == [("k", "1", "v", "c", 1, 1, False), ("m", "1", "v", "c", 7, 4, True), ("m", "1", "v", "d", 1, 1, True)]
+
+
+def test_large_blocks_have_several_files(spark, tmp_path):
+    few = blocks(spark, [("k", "c", 1, "x"), ("k", "c", 2, "y")]).unionByName(blocks(spark, [("k", "c", 3, "z")]).withColumn("temperature", F.lit("1.0"))).drop("_file", "_row")
+    one = spark.range(0, 4000, 1, 3).select(*[F.col("id").cast("string").alias(f) if f in ("run_number", "response_text") else F.lit({"model": "m", "temperature": "1", "prompt_version": "v", "condition": "c"}.get(f, "")).alias(f) for f in FIELDS])
+    sinks.write_blocks(one.unionByName(few), str(tmp_path / "b"), 200_000)
+    found = {p.name: sum(1 for _ in p.open()) - 1 for p in (tmp_path / "b").glob("block__*.csv")}
+    large = [n for name, n in found.items() if "model-m" in name]
+    assert [n for name, n in found.items() if "model-k" in name] == [3]
+    assert sum(large) == 4000 and len(large) == 7 and max(large) < 800
+    own = tables.blocks(spark, str(tmp_path / "b"))
+    assert own.where("model = 'm'").select("run_number", "response_text").distinct().count() == 4000
+    # a block is replaced with all of its files
+    sinks.write_blocks(one.limit(5), str(tmp_path / "x"))
+    got = tables.overlay(*[tables.csv(spark, str(tmp_path / x), glob="block__*.csv") for x in "bx"])
+    assert sorted((r["model"], r["count"]) for r in got.groupBy("model").count().collect()) == [("k", 3), ("m", 5)]
+    sinks.write_blocks(one.where("model = ''"), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("block__*"))
